@@ -47,7 +47,7 @@ MAGIC, TAIL = b"RMSST001", b"RMSSTEND"
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 8 << 20
 BITS_PER_KEY, HASHES = 10, 7
 _FOOTER = struct.Struct("<6QII8s")
-MOST_CACHED = 4 << 20  # pieces a worker remembers
+MOST_CACHED = 400_000  # pieces a worker remembers
 
 #: Byte classes: 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 not ASCII, 5 never cut beside it.
 _CLASS = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 5 if chr(b) in "'<|>" else 3 for b in range(128)] + [4] * 128, np.uint8)

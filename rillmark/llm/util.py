@@ -5,6 +5,8 @@ Nothing here keeps state between tasks, so a lost executor's work is simply done
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -160,9 +162,17 @@ def words(column: pa.Array, in_word: np.ndarray = PLAIN_WORDS, lower: bool = Tru
     return Words(data, start, join(ends, np.int64), np.searchsorted(offsets, start, "right") - 1, join(hashes, U64), len(offsets) - 1)
 
 
-def pieces(batches, column: int = 1, most: int = 4 << 20):
+def release() -> None:
+    """Gives memory that Arrow and the C library keep for later back to the system; workers live long."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batches, column: int = 1, most: int = 2 << 20):
     """The batches cut so that each holds about ``most`` bytes of a string column, or one longer text."""
     for batch in batches:
+        release()
         _, offsets = raw(batch.column(column))
         at, n = 0, batch.num_rows
         while at < n:
