@@ -7,7 +7,7 @@ learned by expectation-maximisation on a fold of the training documents that is
 
 A shuffle of every n-gram occurrence, and one back, would be many times the input. Instead:
 
-1. ``blocks``: each task packs its documents into blocks of some 4 million tokens: the block's distinct
+1. ``blocks``: each task packs its documents into blocks of some 2 million tokens: the block's distinct
    words as sorted 64-bit hashes, and each token as an index into them. They are written once; from
    here on a block's content is fixed whatever is lost or run again.
 2. Each block sends its distinct uni- and bigrams with their counts, as compressed sorted differences,
@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.util import SPACED_WORDS, U64, mix, pack, pack_sorted, pieces, unpack, unpack_sorted, words, written
+from rillmark.llm.util import SPACED_WORDS, U64, mix, pack, pack_sorted, pieces, release, unpack, unpack_sorted, words, written
 
 END, BEGIN = U64(0xE17A146669257AE7), U64(0xB0ABAB0DBD5BA01D)
 HELD_OUT, FOLD, CORE = 0, 1, 2
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 2 << 20
 #: Entries (distinct n-grams of one block) that one reducer's group holds, about.
-GROUP_ENTRIES = 6 << 20
+GROUP_ENTRIES = 2 << 20
 #: Steps per factor of 2 to which the fold's probabilities are rounded when the weights are learned.
 STEPS = 2
 _BLOCK = "block long, docs binary, folds binary, lengths binary, vocabulary binary, tokens binary, n_tokens long, n_entries long"
@@ -120,6 +120,7 @@ def _requests(groups: int):
 
     def run(batches):
         for batch in batches:
+            release()
             for row in batch.to_pylist():
                 b = Block(row)
                 core, fold, pair = b.counts()
@@ -139,6 +140,7 @@ def _totals(keys: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[np.
 
 def _reduce(table: pa.Table) -> pa.Table:
     """Answers one reducer's requests. Row -1 tells its share of N and V."""
+    release()
     column = lambda name, f: [f(x.as_py()) for x in table.column(name)]
     block = table.column("block").to_pylist()
     w, p = column("words", unpack_sorted), column("pairs", unpack_sorted)
@@ -162,6 +164,7 @@ _COUNTED = "docs binary, folds binary, lengths binary, uni binary, all binary, c
 
 def _count(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block and its replies: per token c(w), its training count, c(v) and c(v w)."""
+    release()
     row = left.to_pylist()[0]
     b = Block(row)
     replies = right.sort_by("g")
@@ -175,6 +178,7 @@ def _count(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def _opened(batches, core_docs: int):
     for batch in batches:
+        release()
         for row in batch.to_pylist():
             lengths = unpack(row["lengths"]).astype(np.int64)
             context = unpack(row["context"]).astype(np.int64)
