@@ -7,7 +7,7 @@ learned by expectation-maximisation on a fold of the training documents that is
 
 A shuffle of every n-gram occurrence, and one back, would be many times the input. Instead:
 
-1. ``blocks``: each task packs its documents into blocks of some 2 million tokens: the block's distinct
+1. ``blocks``: each task packs its documents into blocks of about a million tokens: the block's distinct
    words as sorted 64-bit hashes, and each token as an index into them. They are written once; from
    here on a block's content is fixed whatever is lost or run again.
 2. Each block sends its distinct uni- and bigrams with their counts, as compressed sorted differences,
@@ -17,8 +17,8 @@ A shuffle of every n-gram occurrence, and one back, would be many times the inpu
 4. Each block turns the totals into per-token counts, written once; both the fold's statistics (added
    up in Spark over quantised probabilities) and the scores are read from these.
 
-All counts cover all training documents, at every size. Words are told apart by 64-bit hashes: among n
-distinct n-grams about n*n/2**65 pairs are taken for one.
+All counts cover all training documents, at every size. Words are told apart by 64-bit hashes and word
+pairs by PAIR_BITS: among n distinct ones about n*n/2**(bits + 1) are taken for another.
 
 Null text is empty text: one end token. A repeated document is counted and scored as often as it occurs.
 An empty table gives an empty result. Extra columns are ignored; only the id and the text are read.
@@ -37,7 +37,8 @@ from rillmark.llm.util import SPACED_WORDS, U64, mix, pack, pack_sorted, pieces,
 
 END, BEGIN = U64(0xE17A146669257AE7), U64(0xB0ABAB0DBD5BA01D)
 HELD_OUT, FOLD, CORE = 0, 1, 2
-BLOCK_TOKENS = 2 << 20
+PAIR_BITS = 52
+BLOCK_TOKENS = 1 << 20
 #: Entries (distinct n-grams of one block) that one reducer's group holds, about.
 GROUP_ENTRIES = 2 << 20
 #: Steps per factor of 2 to which the fold's probabilities are rounded when the weights are learned.
@@ -46,7 +47,8 @@ _BLOCK = "block long, docs binary, folds binary, lengths binary, vocabulary bina
 
 
 def bigrams(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return mix(before * U64(0xD6E8FEB86659FD93) + after + U64(1))
+    """PAIR_BITS bits of hash: their sorted differences are most of what is shuffled."""
+    return mix(before * U64(0xD6E8FEB86659FD93) + after + U64(1)) >> U64(64 - PAIR_BITS)
 
 
 def _blocks(batches):
@@ -110,13 +112,13 @@ class Block:
         return np.bincount(self.tokens[core], minlength=v), np.bincount(self.tokens[self.fold == FOLD], minlength=v), np.bincount(self.pair[core], minlength=p)
 
 
-def _edges(groups: int) -> np.ndarray:
+def _edges(groups: int, bits: int) -> np.ndarray:
     """The first hash of each reducer's range but the first."""
-    return np.array([(i << 64) // groups for i in range(1, groups)], U64)
+    return np.array([(i << bits) // groups for i in range(1, groups)], U64)
 
 
 def _requests(groups: int):
-    edges = _edges(groups)
+    edges = _edges(groups, 64), _edges(groups, PAIR_BITS)
 
     def run(batches):
         for batch in batches:
@@ -124,7 +126,7 @@ def _requests(groups: int):
             for row in batch.to_pylist():
                 b = Block(row)
                 core, fold, pair = b.counts()
-                u, p = ([0, *np.searchsorted(x, edges), len(x)] for x in (b.vocabulary, b.pairs))
+                u, p = ([0, *np.searchsorted(x, e), len(x)] for x, e in zip((b.vocabulary, b.pairs), edges, strict=True))
                 rows = [(g, row["block"], pack_sorted(b.vocabulary[u[g] : u[g + 1]]), pack(core[u[g] : u[g + 1]]), pack(fold[u[g] : u[g + 1]]), pack_sorted(b.pairs[p[g] : p[g + 1]]), pack(pair[p[g] : p[g + 1]])) for g in range(groups)]
                 for at in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[at : at + 64], strict=True), [pa.int64()] * 2 + [pa.binary()] * 5, strict=True)], ["g", "block", "words", "core", "fold", "pairs", "pair"])
@@ -159,20 +161,17 @@ def _reduce(table: pa.Table) -> pa.Table:
 
 
 _REPLY = "g long, block long, core binary, fold binary, pair binary, n long, v long, n_core long"
-_COUNTED = "docs binary, folds binary, lengths binary, uni binary, all binary, context binary, pair binary"
+_COUNTED = "docs binary, folds binary, lengths binary, uni binary, rest binary, pair binary"
 
 
 def _count(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block and its replies: per token c(w), its training count, c(v) and c(v w)."""
+    """A block and its replies: per token c(w), its count in the fold, and c(v w)."""
     release()
     row = left.to_pylist()[0]
     b = Block(row)
     replies = right.sort_by("g")
     core, fold, pair = (np.concatenate([unpack(x.as_py()) for x in replies.column(k)]).astype(np.int64) for k in ("core", "fold", "pair"))
-    uni = core[b.tokens]
-    context = np.concatenate([[0], uni[:-1]])
-    context[b.first] = 0  # the number of core documents, which the driver knows
-    out = [row["docs"], row["folds"], row["lengths"], *map(pack, (uni, (core + fold)[b.tokens], context, pair[b.pair]))]
+    out = [row["docs"], row["folds"], row["lengths"], *map(pack, (core[b.tokens], fold[b.tokens], pair[b.pair]))]
     return pa.table([pa.array([x], pa.binary()) for x in out], [x.split()[0] for x in _COUNTED.split(", ")])
 
 
@@ -181,9 +180,10 @@ def _opened(batches, core_docs: int):
         release()
         for row in batch.to_pylist():
             lengths = unpack(row["lengths"]).astype(np.int64)
-            context = unpack(row["context"]).astype(np.int64)
+            uni, rest, pair = (unpack(row[k]).astype(np.int64) for k in ("uni", "rest", "pair"))
+            context = np.concatenate([[0], uni[:-1]])
             context[np.cumsum(lengths) - lengths] = core_docs
-            yield unpack(row["docs"]).view(np.int64), unpack(row["folds"]).astype(np.int8), lengths, unpack(row["uni"]).astype(np.int64), unpack(row["all"]).astype(np.int64), context, unpack(row["pair"]).astype(np.int64)
+            yield unpack(row["docs"]).view(np.int64), unpack(row["folds"]).astype(np.int8), lengths, uni, uni + rest, context, pair
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
