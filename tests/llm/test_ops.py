@@ -188,16 +188,15 @@ def test_pii_patterns_find_unseen(spark):
 
 def test_near_duplicates(spark):
     words = BASE.split()
-    near = " ".join([*words[:20], "changed", *words[21:]])
+    near = " ".join(["changed", *words[1:]])
     rng = np.random.default_rng(1)
     others = [" ".join(rng.permutation(words)) for _ in range(20)]
     texts = [BASE, BASE.upper() + ".", BASE, near, *others, None, None, "", "", "one two", "one two", "two one"]
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(_docs(spark, texts)).collect()}
-    first = {}
     assert got[1] == got[2] == 0 and got[3] == 0
     assert all(got[i] == i for i in range(4, 26)) and got[27] == 26 and got[29] == 28 and got[30] == 30
     kept = [r.doc_id for r in near_dedup.deduplicate(_docs(spark, texts)).collect()]
-    assert sorted(kept) == sorted(i for i in got if got[i] == i) and not first
+    assert sorted(kept) == sorted(i for i in got if got[i] == i)
 
 
 def test_edit_distance():
