@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text that are hashed at a time; bounds the temporary arrays of `words`.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -169,7 +169,19 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def pieces(batches, column: int = 1, most: int = 2 << 20):
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: str = "4m"):
+    """While it lasts, what runs hands Python Arrow batches of about ``most`` bytes; a batch exists several times, here and in the JVM."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def pieces(batches, column: int = 1, most: int = 1 << 20):
     """The batches cut so that each holds about ``most`` bytes of a string column, or one longer text."""
     for batch in batches:
         release()
@@ -180,6 +192,8 @@ def pieces(batches, column: int = 1, most: int = 2 << 20):
             to = min(n, to)
             yield batch.slice(at, to - at)
             at = to
+    batch = None
+    release()
 
 
 def pack(values: np.ndarray) -> bytes:
