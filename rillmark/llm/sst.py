@@ -22,7 +22,7 @@ the same files. A shard's ids before it come from a running sum over one row per
 Encoding: the tokenizer never joins what stands on both sides of white space, or of a change between
 letters, digits and marks (but near quotes, ``<|>`` and non-ASCII characters, where no cut is made), so
 texts are cut there without making strings and each distinct piece is encoded once per worker and batch;
-`tests/llm/test_sst.py` holds this against whole-text encoding.
+`tests/llm/test_ops.py` holds this against whole-text encoding.
 
 A null text is an empty one: just the end id. An empty table gives no shards and no rows. Repeated ids
 are ordered by text. Other columns are not read.
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.llm.util import U64, mix, pieces, raw, scratch, words, written
+from rillmark.llm.util import U64, mix, pieces, raw, scratch, small_batches, words, written
 
 MAGIC, TAIL = b"RMSST001", b"RMSSTEND"
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 8 << 20
@@ -304,7 +304,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
             yield close()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return written(src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "name string, entries long, ids long"), "manifest")
+    with small_batches(docs.sparkSession):
+        return written(src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "name string, entries long, ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame, path: str) -> DataFrame:
