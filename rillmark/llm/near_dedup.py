@@ -11,11 +11,16 @@ A candidate pair is a link if its k-mer multisets have a Jaccard similarity of a
 alignment in a band of 20 % of the longer text's words finds an edit similarity of at least 0.8.
 
 At scale: equal texts collapse first (one row per text digest). A bucket (element) of n texts gives at
-most 2 n candidates, never n * n: each text with the bucket's least id, and, where one of two texts that
+first 2 n candidates: each text with the bucket's least id, and, where one of two texts that
 are neighbours in the order of their other elements isn't linked to that, those two. The least id comes from a partial aggregation, the
 neighbours from a range sort on (bucket, order), so that a bucket that holds a third of all texts is
 spread over many tasks. Links become groups by label propagation with pointer jumping, on tables in the
-shared folder. Nothing but counters reaches the driver.
+shared folder. Then the texts of buckets that hold several groups are compared across groups (``rest``): all
+pairs but those that an exact bound rules out. With the k-mers of each text put into one common order, rare ones
+first, two texts of the similarity share one of the first 20 % of each, at places that leave enough k-mers
+behind them. The order comes from hashed counts; an inexact count costs time, never a pair. A k-mer of many
+texts is joined in square blocks. Pairs within a group aren't compared further, since they can't change it;
+``n_links`` counts the links that were found. Nothing but counters reaches the driver.
 
 Nulls: a document with null text is a group of its own, as is a null id (which stays null). Texts without
 words are copies of each other only if they are equal. A group's id is its least doc_id; rows that repeat
@@ -37,6 +42,10 @@ K, ELL, ELEMENTS, SIMILARITY = 5, 3, 14, 0.8
 #: Low bits of a hashed k-mer that hold its position.
 PLACE = 28
 _MOST = U64(0xFFFFFFFFFFFFFFFF)
+#: Counters of k-mers by their low bits, for the order of ``rest``.
+COUNTERS = 1 << 18
+#: Pairs of one k-mer that one block of its join has, about.
+BLOCK_PAIRS = 1 << 20
 
 
 def kmers(h: np.ndarray, bounds: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -198,6 +207,57 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
+def _frequencies(batches):
+    """(doc_id, text) to (slot, n): the task's k-mers by their low bits."""
+    n = np.zeros(COUNTERS, np.int64)
+    for batch in pieces(batches):
+        x = _parts(batch.column(1))[2]
+        n += np.bincount((x & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["slot", "n"])
+
+
+def _prefixes(counts: np.ndarray):
+    """(doc_id, text) to (kmer, doc, at, size): of each text's k-mers, rare ones first, those of which a similar text has one."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            _, _, x, to = _parts(batch.column(1))
+            size = np.diff(to)
+            doc = np.repeat(np.arange(len(size)), size)
+            x = x[np.lexsort((x, counts[(x & U64(COUNTERS - 1)).astype(np.int64)], doc))]
+            at, size = np.arange(len(x)) - to[doc], size[doc]
+            keep = at <= size - np.ceil(SIMILARITY * size - 1e-9)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[doc[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)), pa.array(ids), pa.array(at[keep]), pa.array(size[keep])], ["kmer", "doc", "at", "size"])
+
+    return run
+
+
+def rest(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different groups in buckets of several groups that may have the similarity."""
+    placed = members.join(labels, members.doc == labels.node, "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
+    several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket")
+    docs = written(placed.join(several, "bucket", "left_semi").select("doc", "label").distinct(), "open")
+    texts = known.join(docs.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    told = texts.mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+    rows = written(texts.mapInArrow(_prefixes(counts), "kmer long, doc long, at long, size long").join(docs, "doc"), "prefixes")
+    per = rows.groupBy("kmer", "label").agg(F.count("*").alias("n"), F.min("size").alias("least"))
+    per = per.groupBy("kmer").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.min("least").alias("least")).filter("n > most")
+    # a row's k-mer has enough others behind it only for texts of up to this size
+    longest = (F.col("size") - F.col("at")) * ((1 + SIMILARITY) / SIMILARITY) - F.col("size") + 1e-6
+    shared = written(rows.join(per, "kmer").filter(longest >= F.col("least")).select("kmer", "doc", "at", "size", "label", "main", F.ceil(F.sqrt((F.col("n") - F.col("most")) * F.col("n") / BLOCK_PAIRS)).alias("side")), "shared")
+    own, every = F.pmod(F.xxhash64("doc"), F.col("side")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1))
+    x = shared.filter("label <> main").select("kmer", own.alias("r"), every.alias("c"), *[F.col(k).alias(f"{k}_x") for k in ("doc", "at", "size", "label")])
+    y = shared.select("kmer", own.alias("c"), every.alias("r"), "main", *[F.col(k).alias(f"{k}_y") for k in ("doc", "at", "size", "label")])
+    once = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("doc_x") < F.col("doc_y")))
+    enough = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) * (1 + SIMILARITY) >= SIMILARITY * (F.col("size_x") + F.col("size_y")) - 1e-6
+    near = F.least("size_x", "size_y") >= SIMILARITY * F.greatest("size_x", "size_y") - 1e-6
+    return x.join(y, ["kmer", "r", "c"]).filter(once & enough & near).select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for edges (a, b): each node's least reachable id. Rounds grow with the logarithm of a path's length.
 
@@ -235,8 +295,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     good = checked.filter("ok").select(F.col("a").alias("least"), F.col("b").alias("doc"), F.lit(True).alias("linked")).distinct()
     sorted_ = members.join(good, ["least", "doc"], "left").select("bucket", "p1", "p2", "doc", (F.coalesce("linked", F.lit(False)) | (F.col("doc") == F.col("least"))).alias("ok")).repartitionByRange("bucket", "p1", "p2", "doc").sortWithinPartitions("bucket", "p1", "p2", "doc")
     chain = sorted_.mapInArrow(_neighbours, "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    links = written(checked.filter("ok").unionByName(written(_checked(chain, known), "chain").filter("ok")).select("a", "b"), "linked")
+    compared = checked.unionByName(written(_checked(chain, known), "chain"))
+    links = written(compared.filter("ok").select("a", "b"), "linked")
     labels = components(links)
+    more = written(_checked(rest(members, labels, known).join(compared.select("a", "b"), ["a", "b"], "left_anti"), known), "rest").filter("ok").select("a", "b")
+    if not more.isEmpty():
+        links = written(links.unionByName(more), "linked")
+        labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classes = written(classes, "classes")

@@ -199,6 +199,27 @@ def test_near_duplicates(spark):
     assert sorted(kept) == sorted(i for i in got if got[i] == i)
 
 
+def test_near_duplicates_of_a_template(spark):
+    rng = np.random.default_rng(3)
+    template, texts = [f"t{i}" for i in range(55)], []
+    for _ in range(400):
+        tail = [f"w{x}" for x in rng.integers(0, 1 << 40, 9)]
+        changed = template.copy()
+        changed[rng.integers(5, 50)] = f"c{rng.integers(0, 1 << 40)}"
+        texts += [" ".join(template + tail), " ".join(changed + tail)]
+    rows = list(enumerate(texts[i] for i in rng.permutation(len(texts))))
+    parts = near_dedup._parts(pa.array([t for _, t in rows]))
+    opened = [(parts[0].hash[parts[1][i] : parts[1][i + 1]], np.sort(parts[2][parts[3][i] : parts[3][i + 1]])) for i in range(len(rows))]
+    least = list(range(len(rows)))  # of a pair; a text is like its copy only
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_dedup.alike(opened[i], opened[j]):
+                least[i] = min(least[i], j)
+    assert sum(i != x for i, x in enumerate(least)) == 400
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(least))
+
+
 def test_edit_distance():
     rng = np.random.default_rng(2)
     for _ in range(60):
