@@ -4,13 +4,15 @@ Slots t = 0, 1, 2, ... take the points frac(t * golden ratio), as 64-bit fractio
 targets cut [0, 1) into one interval per source, so after any number of slots each source's share is
 within a few slots of its target. A source's documents are shuffled by a hash of their id and text and
 laid end to end; block k holds words k*B up to (k+1)*B of that row. The source's slot of rank r takes
-block r modulo its number of blocks, at most twice. All blocks have B words (a source's last one has the
-rest), so a document may be cut between a taken and an untaken block.
+block r modulo its number of blocks, at most twice. All blocks have B = ``BLOCK`` words (a source's last one has the
+rest) at every size of input, so what is taken of a source is within a few words of its target, and a document may be
+cut between a taken and an untaken block.
 
 At scale: a word count per document is written once (ids, sizes, hashes; no texts). Word offsets are
 running sums in two levels, over hash buckets and within one, of about the square root of the number of
 rows each, so a source that holds a third of all rows is spread like the others. The driver sees one row
-per source (at most ``MAX_SOURCES``, checked) and at most ``SLOTS`` points.
+per source (at most ``MAX_SOURCES``, checked) and no points: a source's slots are counted by sums of floors
+(``below``), in steps that don't grow with the number of slots.
 
 A null text has 0 words and is never taken; nor is an empty one. Null is a source like others, last in
 order; ``""`` is one, too. Repeated rows are separate documents. An empty table gives an empty result.
@@ -30,7 +32,7 @@ from rillmark.llm.util import written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
-SLOTS, MAX_SOURCES = 1 << 22, 100_000
+BLOCK, MAX_SOURCES = 1, 100_000
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -64,16 +66,32 @@ def edges(target: list[float]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def plan(sizes: list[int], target: list[float], slots: int = SLOTS) -> list[dict]:
+def floor_sum(n: int, m: int, a: int, b: int) -> int:
+    """The sum of (a * t + b) // m over t = 0 ... n - 1, for a, b >= 0."""
+    out = 0
+    while n:
+        out += n * (n - 1) // 2 * (a // m) + n * (b // m)
+        a, b = a % m, b % m
+        n, b = divmod(a * n + b, m)
+        m, a = a, m
+    return out
+
+
+def below(n: int, cut: int) -> int:
+    """How many of the first n points are less than ``cut``."""
+    return n + floor_sum(n, 2**64, GOLDEN, 0) - floor_sum(n, 2**64, GOLDEN, 2**64 - cut)
+
+
+def plan(sizes: list[int], target: list[float], block: int = BLOCK) -> list[dict]:
     """Per source: blocks, the slots it gets, how often all its words are taken, and the words taken once more."""
     budget = sum(target)
-    block = max(1, math.ceil(budget / slots))
     n = math.ceil(budget / block)
-    got = np.bincount(np.searchsorted(edges(target), points(n), "right"), minlength=len(sizes)) if sizes else []
+    ends = [0, *(below(n, int(e)) for e in edges(target)), n] if sizes else [0]
+    got = [b - a for a, b in zip(ends, ends[1:], strict=False)]
     out = []
     for size, g in zip(sizes, got, strict=True):
         blocks = math.ceil(size / block)
-        g = min(int(g), 2 * blocks)
+        g = min(g, 2 * blocks)
         full, rest = divmod(g, blocks) if blocks else (0, 0)
         out.append({"block": block, "blocks": blocks, "slots": g, "full": full, "rest": min(rest * block, size)})
     return out

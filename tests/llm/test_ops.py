@@ -108,6 +108,15 @@ def test_mix(docs, odd, spark):
     assert len(s) == 100 and abs(sum(r.source == "a" for r in s) - 75) <= 2
 
 
+def test_mix_of_small_sources_in_a_large_input():
+    cuts = [0, 1, 2**64 // 3, 2**63, 2**64 - 1]
+    assert [mixing.below(999, c) for c in cuts] == [int((mixing.points(999) < np.uint64(c)).sum()) for c in cuts]
+    sizes = [50, 200, 500, 2_000, 5_000, 4 * 10**9, 10**9]
+    target = mixing.targets(sizes, [1.0] * len(sizes))
+    for size, t, p in zip(sizes, target, mixing.plan(sizes, target), strict=True):
+        assert abs(p["full"] * size + p["rest"] - t) <= 10
+
+
 @given(st.binary(max_size=900))
 @settings(max_examples=30, deadline=None)
 def test_png_round_trip(data):
