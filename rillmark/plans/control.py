@@ -238,7 +238,7 @@ SCH_COMPATIBLE = """WITH r AS (SELECT o_orderkey, ['none', 'backward', 'forward'
 
 def stm_windows(s, d):
     """Daily counts by type of a stream, kept incrementally."""
-    got = stream.drained(stream.windowed(stream.read(s, d, "events"), "1 day", "event_type"), "windows", "update")
+    got = stream.drained(stream.windowed(stream.read(s, d, "events"), "1 day", "event_type", late=None), "windows", "update")
     return stream.latest(got, ["start_ms", "event_type"], "n")
 
 

@@ -1,5 +1,8 @@
 """Delivery, folds, compatibility and streams: against DuckDB, and against literal cases."""
 
+import datetime
+import functools
+
 import pytest
 from pyspark.sql import functions as F
 from test_oracle import SF, canonical, duck  # noqa: F401
@@ -75,3 +78,11 @@ def test_compatible(spark, kind, old, new, back, forth):
     verdict = [compatibility.compatible(F.lit(p), F.col("k"), F.col("o"), F.col("k"), F.col("n")).alias(p) for p in ("none", "backward", "forward", "full")]
     assert tuple(df.select(*verdict).first()) == (True, back, forth, back and forth)
     assert df.select(compatibility.compatible(F.lit("full"), F.lit("json"), F.col("o"), F.lit("avro"), F.col("n"))).first()[0] is False
+
+
+def test_windows_of_overlapping_files(spark, tmp_path, monkeypatch):
+    for k in range(3):  # every file has every day
+        rows = [(10 * k + i, datetime.datetime(2024, 1, 1 + i, k), "view") for i in range(4)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(control.stream, "read", functools.partial(control.stream.read, files_per_trigger=1))
+    assert sorted(r.n for r in control.stm_windows(spark, str(tmp_path)).collect()) == [3] * 4
