@@ -8,17 +8,17 @@ Patterns and the identifiers (instances) found beside them form a graph, and sco
     conf(pattern)   = sum over its instances of score * occurrences / occurrences of its word in all texts
 
 so that a word which mostly has other things behind it (an article, say) is no pattern. Only patterns with at least ``SUPPORT`` distinct seeds count. After ``ROUNDS`` rounds, patterns
-with a confidence of at least ``CONFIDENCE`` (the ``PATTERNS`` best) are kept, and every candidate beside
+with a confidence of at least ``CONFIDENCE`` are kept, all of them, and every candidate beside
 one, of a shape that its kind may have, is a new span unless it overlaps a base one.
 
 At scale: texts are read by regular expressions whose time is in proportion to the text (possessive
 or anchored, so Java neither backtracks nor recurses over long runs); what is found is written without
 the texts; a second reading counts words, summed per task before the shuffle. The graph has only tokens with a digit or an ``@``. It is grouped by pattern or instance after
-counting each (pattern, instance) once, so a frequent one is a number, not a group. A fixed number of
-patterns reaches the driver.
+counting each (pattern, instance) once, so a frequent one is a number, not a group. Patterns stay a table of
+one row per context, joined with the candidates' contexts; a large table is joined in ``SALTS`` shares, so a
+frequent context isn't one task's. No pattern reaches the driver.
 
-Null text is empty text. Repeated rows are each reported; ties of patterns go by confidence, support,
-then text. An empty table gives an empty result. Only ids and texts are read.
+Null text is empty text. Repeated rows are each reported. An empty table gives an empty result. Only ids and texts are read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rillmark.llm.util import written
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, ROUNDS, CONFIDENCE, PATTERNS = 5, 3, 0.8, 500
+SUPPORT, ROUNDS, CONFIDENCE, SALTS = 5, 3, 0.8, 16
 
 # Java forms of the base expressions. They match what the plain forms match; the guards
 # before them only keep the search from starting within a run that has failed already.
@@ -164,22 +164,23 @@ def learned(found: DataFrame, words: DataFrame, *, support: int = SUPPORT, round
     return patterns
 
 
-def _beside(kind: int, contexts: Column) -> Column:
-    """The candidates that aren't seeds, may be of the kind and stand beside one of the contexts."""
-    return F.filter("candidates", lambda x: (F.size(x["seeds"]) == 0) & F.array_contains(x["kinds"], kind) & F.arrays_overlap(F.filter(x["contexts"], lambda v: v.isNotNull()), contexts))
+def _added(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(_at, added): the candidates that aren't seeds and stand beside a pattern of a kind that they may be."""
+    kinds = written(patterns.groupBy("context").agg(F.collect_set("kind").alias("_kinds")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "pii-patterns")
+    c = found.select("_at", F.explode(F.filter("candidates", lambda x: (F.size(x["seeds"]) == 0) & (F.size(x["kinds"]) > 0))).alias("c"))
+    c = c.select("_at", "c.start", "c.end", "c.kinds", F.explode("c.contexts").alias("context")).filter("context is not null")
+    beside = c.withColumn("salt", F.pmod(F.xxhash64("_at", "start"), F.lit(SALTS)).cast("int")).join(kinds, ["context", "salt"])
+    spans_ = beside.select("_at", "start", "end", F.explode(F.array_intersect("kinds", "_kinds")).alias("kind"))
+    return spans_.groupBy("_at").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
 
 
 def spans(docs: DataFrame, *, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, base, spans: arrays of (kind, start, end) by kind and place; spans has the base ones too."""
-    found = written(extracted(docs, keep=keep), "pii-found")
-    best = learned(found, word_counts(docs), support=support, rounds=rounds).filter(F.col("confidence") >= confidence).orderBy(F.desc("confidence"), F.desc("seeds"), "kind", "context").limit(PATTERNS).collect()
+    found = written(extracted(docs, keep=keep).withColumn("_at", F.monotonically_increasing_id()), "pii-found")
+    patterns = learned(found, word_counts(docs), support=support, rounds=rounds).filter(F.col("confidence") >= confidence)
+    added = written(_added(found, patterns), "pii-added")
     empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    added = empty
-    for i in range(len(KINDS)):
-        contexts = [r.context for r in best if r.kind == i]
-        if contexts:
-            added = F.concat(added, _as_spans(_beside(i, F.array(*map(F.lit, contexts))), i))
-    return found.select(*keep, "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return found.drop("candidates").join(added, "_at", "left").select(*keep, "base", F.array_sort(F.concat("base", F.coalesce("added", empty))).alias("spans"))
 
 
 def joined(c: Column | str) -> Column:

@@ -195,6 +195,14 @@ def test_pii_patterns_find_unseen(spark):
     assert not rows[12].base and [s.kind for s in rows[12].spans] == [3] and not rows[13].spans
 
 
+def test_pii_keeps_all_patterns(spark):
+    name = lambda i: "q" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    texts = [" . ".join(f"{name(i)} user{i}x{k}@mail.example.org" for k in range(5)) for i in range(600)]
+    texts += [f"ringme call{k}@mail.example.org" for k in range(5)] + ["ringme bob@local"]
+    rows = {r.doc_id: r for r in pii.spans(_docs(spark, texts)).collect()}
+    assert [tuple(s) for s in rows[605].spans] == [(0, 7, 16)]
+
+
 def test_near_duplicates(spark):
     words = BASE.split()
     near = " ".join(["changed", *words[1:]])
