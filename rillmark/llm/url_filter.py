@@ -16,8 +16,9 @@ that no rule decides becomes a row per character, which looks up its grams of ea
 code and is summed up again before the shuffle. Counting needs one row per character of the URLs that
 rules decide, pre-aggregated by distinct URL and by longest gram. A frequent URL is one row from then on.
 
-Null URLs, and such without ``://``, have an empty host and path and fit no rule; their score is that of
-the empty string, 0. Without allowed or without blocked URLs all scores are 0 and nothing else is
+The rules see host and path; the model is trained on and scores all that stands behind ``://``, with query and
+fragment (the host in lower case), and where there is no ``://`` the whole string. Null URLs, and such without ``://``, have an empty host and path and fit no rule;
+the latter are scored as they are, a null URL as the empty string, 0. Without allowed or without blocked URLs all scores are 0 and nothing else is
 blocked. Rules of equal length go by their text. Repeated rows are judged alike; other columns stay.
 """
 
@@ -55,8 +56,11 @@ def ruled(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     return out.withColumns({"rule": rule, "ruling": ruling})
 
 
-def _text(host="host", path="path") -> Column:
-    return F.concat(F.col(host), F.col(path))
+def _text(url: Column) -> Column:
+    """The URL as the model sees it: all but the scheme. Needs the column host."""
+    at = F.locate("://", url)
+    whole = F.concat(F.col("host"), F.substring(url, at + 3 + F.length("host"), F.length(url)))
+    return F.coalesce(F.when(at > 0, whole).otherwise(url), F.lit(""))
 
 
 def grams(texts: DataFrame, allowed: Column) -> DataFrame:
@@ -104,8 +108,8 @@ def scored(texts: DataFrame, grams_: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, rules=RULES, *, url: str = "url") -> DataFrame:
     """The pages with host, path, rule, score, threshold (both null where a rule decides) and verdict."""
     out = ruled(pages, rules, url)
-    out = out.withColumn("t", F.when(F.col("ruling").isNull(), _text()))
-    known = out.filter("ruling is not null").select(_text().alias("t"), (F.col("ruling") == "allow").alias("allowed"))
+    out = out.withColumn("t", F.when(F.col("ruling").isNull(), _text(F.col(url).cast("string"))))
+    known = out.filter("ruling is not null").select(_text(F.col(url).cast("string")).alias("t"), (F.col("ruling") == "allow").alias("allowed"))
     spare = F.crc32(F.col("t").cast("binary")) % 5 == 0
     both = known.agg(F.count_if("allowed").alias("a"), F.count_if(~F.col("allowed")).alias("b")).first()
     if both.a and both.b:
