@@ -119,6 +119,15 @@ def test_mix(docs, odd, spark):
     assert len(s) == 100 and abs(sum(r.source == "a" for r in s) - 75) <= 2
 
 
+def test_mix_is_the_schedule_joined_to_blocks(spark):
+    names, sizes = ["a", "b", "c"], [30, 50, 7]
+    target = mixing.targets(sizes, [5, 2, 1])
+    slots = mixing.schedule(spark, names, target, sizes, int(np.ceil(sum(target))), 3).collect()
+    for name, size, p in zip(names, sizes, mixing.plan(sizes, target), strict=True):
+        times = np.bincount([r.block for r in slots if r.source == name and r.rank < 2 * size], minlength=size)
+        assert times.tolist() == [p["full"] + (k < p["rest"]) for k in range(size)]
+
+
 def test_mix_of_small_sources_in_a_large_input():
     cuts = [0, 1, 2**64 // 3, 2**63, 2**64 - 1]
     assert [mixing.below(999, c) for c in cuts] == [int((mixing.points(999) < np.uint64(c)).sum()) for c in cuts]
