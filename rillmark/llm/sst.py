@@ -17,15 +17,18 @@ by side.
 
 Documents are range-partitioned by id; each task writes shards of about ``SHARD_BYTES`` to the shared
 folder, first under a name of its own attempt and then renamed, so a task that runs again or twice leaves
-the same files. A shard's ids before it come from a running sum over one row per shard.
+the same files. A range goes by id, then a hash of the text, then the row's place in the input, so rows that share an id
+are many tasks' too. A shard's ids before it come from running sums in two levels: over tasks, and over a task's shards.
+The manifest's rows are dealt out and each task reads its shards' files block by block; nothing is broadcast.
 
 Encoding: the tokenizer never joins what stands on both sides of white space, or of a change between
 letters, digits and marks (but near quotes, ``<|>`` and non-ASCII characters, where no cut is made), so
-texts are cut there without making strings and each distinct piece is encoded once per worker and batch;
-`tests/llm/test_ops.py` holds this against whole-text encoding.
+texts are cut there without making strings and each distinct piece is encoded once per worker and batch.
+Pieces are found by hash and their bytes compared before a remembered encoding is used, so ids never depend on the hash;
+`tests/llm/` holds this against whole-text encoding.
 
-A null text is an empty one: just the end id. An empty table gives no shards and no rows. Repeated ids
-are ordered by text. Other columns are not read.
+A null text is an empty one: just the end id. An empty table gives no shards and no rows. Ids are whole numbers; rows that
+repeat one are ordered by a hash of the text and then by the text. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.llm.util import U64, mix, pieces, raw, scratch, small_batches, words, written
+from rillmark.llm.util import LOWER, U64, mix, pieces, raw, same_ranges, scratch, small_batches, words, written
 
 MAGIC, TAIL = b"RMSST001", b"RMSSTEND"
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 8 << 20
@@ -63,10 +66,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.offset, self.count, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._forget()
         level = self.tokenizer.pre_tokenizer
         self.bytes = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x61, 0x180)) if c.isalpha() and c == c.lower() and c != "İ"}
 
+    def _forget(self) -> None:
+        """Of each remembered piece: hash (ascending), place and size of its bytes, place and number of its ids."""
+        self.known, self.at, self.size, self.offset, self.count = np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(4))
+        self.spelled, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
     def _piece_ids(self, texts: list[str]) -> list[list[int]]:
         out, rest = [None] * len(texts), []
         model, level = self.tokenizer.model, self.bytes
@@ -87,31 +95,43 @@ class Encoder:
         data, offsets = raw(column)
         lower = b"<|" not in memoryview(data[offsets[0] : offsets[-1]]).tobytes()  # special tokens are told by case
         w = words(column, _CLASS, lower, _CUT)
+        text, size = (LOWER[data] if lower else data), w.end - w.start
+        # a piece of either kind has a hash of its own, else the two would push each other out
         h = w.hash if lower else mix(w.hash + U64(1))
         distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        if len(self.known):
-            new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
+        new = self.known[np.minimum(at, len(self.known) - 1)] != distinct if len(self.known) else np.ones(len(distinct), bool)
         if new.any():
             if len(self.known) + new.sum() > MOST_CACHED:
                 new[:] = True
-                self.known, self.offset, self.count, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-            text = (lambda i: w.text(i)) if lower else (lambda i: w.data[w.start[i] : w.end[i]].tobytes())
-            got = self._piece_ids([text(i).decode() for i in first[new].tolist()])
-            count = np.array([len(x) for x in got], np.int64)
-            offset = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, np.fromiter((y for x in got for y in x), np.uint32, int(count.sum()))])
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.offset, self.count = known[order], np.concatenate([self.offset, offset])[order], np.concatenate([self.count, count])[order]
+                self._forget()
+            self._learn(text, w.start[first[new]], size[first[new]], distinct[new])
             at = np.searchsorted(self.known, distinct)
         at = at[place]
-        n = self.count[at]
+        offset, n, ids = self.offset[at], self.count[at], self.ids
+        same = size == self.size[at]
+        same[same] = same_ranges(text, w.start[same], self.spelled, self.at[at[same]], size[same])
+        if not same.all():  # another piece has the hash: encoded by itself, not remembered
+            other = np.flatnonzero(~same)
+            got = self._piece_ids([text[a:b].tobytes().decode() for a, b in zip(w.start[other].tolist(), w.end[other].tolist(), strict=True)])
+            n[other] = [len(x) for x in got]
+            offset[other] = len(ids) + np.cumsum(n[other]) - n[other]
+            ids = np.concatenate([ids, np.fromiter((y for x in got for y in x), np.uint32, int(n[other].sum()))])
         end = np.cumsum(n)
-        ids = self.ids[np.repeat(self.offset[at] - (end - n), n) + np.arange(int(n.sum()))]
+        ids = ids[np.repeat(offset - (end - n), n) + np.arange(int(n.sum()))]
         return ids, np.concatenate([[0], end])[w.bounds()]
 
+    def _learn(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> None:
+        got = self._piece_ids([text[a : a + k].tobytes().decode() for a, k in zip(start.tolist(), size.tolist(), strict=True)])
+        count = np.array([len(x) for x in got], np.int64)
+        offset, at = len(self.ids) + np.cumsum(count) - count, len(self.spelled) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.fromiter((y for x in got for y in x), np.uint32, int(count.sum()))])
+        self.spelled = np.concatenate([self.spelled, text[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]])
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.at, self.size, self.offset, self.count = (np.concatenate(x)[order] for x in ((self.at, at), (self.size, size), (self.offset, offset), (self.count, count)))
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -303,25 +323,42 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         if writer:
             yield close()
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"), F.monotonically_increasing_id().alias("_n"))
     with small_batches(docs.sparkSession):
-        return written(src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "name string, entries long, ids long"), "manifest")
+        dealt = src.repartitionByRange("doc_id", "_h", "_n").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
+        return written(dealt.mapInArrow(run, "name string, entries long, ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame, path: str) -> DataFrame:
     """Every entry of the shards: doc_id, start, n_tokens, ids_crc32."""
-    # one row per shard of megabytes: a small table, whatever the number of documents
-    starts = manifest.select("name", (F.sum("ids").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("base"))
-    content = manifest.sparkSession.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "part-*.sst").load(path)
+    part = F.substring("name", 1, 11)  # of each task
+    per = manifest.groupBy(part.alias("part")).agg(F.sum("ids").alias("ids"))
+    tasks = per.select("part", (F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("before"))  # one row per task that wrote
+    within = F.sum("ids").over(Window.partitionBy("part").orderBy("name").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")
+    starts = manifest.withColumn("part", part).withColumn("within", within).join(tasks, "part").select("name", (F.col("before") + F.col("within")).alias("base"))
 
     def run(batches):
-        for batch in batches:
-            for base, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(doc, base + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, before, ids in ShardReader(io.BytesIO(data.as_buffer()))]
-                for at in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[at : at + 10_000], strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        import pyarrow.fs as pafs
 
-    return content.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(F.broadcast(starts), "name").select("base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        files, folder = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with files.open_input_file(f"{folder}/{name}") as f:
+                    rows = []
+                    for doc, before, ids in ShardReader(f):
+                        rows.append((doc, base + before, len(ids), zlib.crc32(ids.astype("<u4"))))
+                        if len(rows) == 10_000:
+                            yield _token_rows(rows)
+                            rows = []
+                    if rows:
+                        yield _token_rows(rows)
+
+    return starts.repartition("name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _token_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:

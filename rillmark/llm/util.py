@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that are hashed at a time; bounds the temporary arrays of `words`.
@@ -21,30 +24,65 @@ CHUNK = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset (tests) one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may lack one; it gets a folder of its own."""
     sc = spark.sparkContext
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not set_dir and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(set_dir or f"file://{tempfile.mkdtemp(prefix='rillmark-')}")
         current = sc._jsc.sc().getCheckpointDir()
     return set_dir or current.get()
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder, with its scheme."""
+    """A fresh path below the shared folder, with its scheme. It is deleted when the driver's JVM ends."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    return f"{path.getFileSystem(conf).makeQualified(path).toString().rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    files = path.getFileSystem(conf)
+    own = jvm.org.apache.hadoop.fs.Path(f"{files.makeQualified(path).toString().rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    files.mkdirs(own)  # what isn't there can't be marked
+    files.deleteOnExit(own)
+    return own.toString()
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a table from `written` that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for f in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(f.rpartition("/")[0])
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Shares into which the rows of one key are dealt.
+SALTS = 32
+
+
+def salted(df: DataFrame, *spread: str) -> DataFrame:
+    """``df`` with ``_salt``, by a hash of columns that differ within a key."""
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with the one row that ``right`` has of each key, where a key may hold a third of ``left``.
+
+    A key's rows are dealt over SALTS tasks by the columns ``spread``; a row of ``right`` is copied only for the
+    shares that ``left`` has, so a table of distinct keys isn't multiplied. ``left`` is read twice.
+    """
+    dealt = salted(left, *spread)
+    asked = dealt.select(*keys, "_salt").distinct().join(right, keys)
+    return dealt.join(asked, [*keys, "_salt"], how).drop("_salt")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64), so that every bit of the result depends on every bit of ``x``."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -52,22 +90,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_POW: dict[str, np.ndarray] = {}
+#: Words of more bytes than this are hashed and compared as a whole instead of by 8 bytes at a time.
+LONG = 512
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """For each place of ``data`` and the one behind it: the 8 bytes from there on as a number (0 past the end)."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers below ``n`` modulo 2**64, and their inverses."""
-    if not _POW or len(_POW["up"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.ones(size, U64)
-            done, step = 1, b
-            while done < size:  # doubling: out[done:2*done] = out[:done] * base**done
-                np.multiply(out[:done], U64(step), out=out[done : 2 * done])
-                done, step = 2 * done, step * step % (1 << 64)
-            _POW[name] = out
-    return _POW["up"], _POW["down"]
+def _cut(lane: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first ``left`` bytes of each lane."""
+    bits = (np.minimum(left, 8) * 8).astype(U64)
+    return np.where(left < 8, lane & ((U64(1) << (bits & U64(63))) - U64(1)), lane)
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range: its length, then 8 bytes after 8 bytes, each mixed into what is before.
+
+    Up to 8 bytes the hash of a length's ranges is one to one. Longer ranges have no sums or products that
+    could cancel out; those over LONG bytes take BLAKE2b.
+    """
+    n = end - start
+    h = mix(n.astype(U64) + U64(0x9E3779B97F4A7C15))
+    lanes, live, at = _lanes(data), np.flatnonzero((n > 0) & (n <= LONG)), 0
+    while len(live):
+        left = n[live] - at
+        h[live] = mix(h[live] ^ _cut(lanes[start[live] + at], left))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def same_ranges(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether n bytes of ``a`` from a_at and of ``b`` from b_at are the same, for each triple."""
+    same, x, y = np.ones(len(n), bool), _lanes(a), _lanes(b)
+    live, at = np.flatnonzero(n > 0), 0
+    while len(live) and at < LONG:
+        left = n[live] - at
+        differ = _cut(x[a_at[live] + at] ^ y[b_at[live] + at], left) != 0
+        same[live[differ]] = False
+        live, at = live[(left > 8) & ~differ], at + 8
+    for i in live.tolist():
+        same[i] = np.array_equal(a[a_at[i] + at : a_at[i] + n[i]], b[b_at[i] + at : b_at[i] + n[i]])
+    return same
 
 
 def byte_class(in_word) -> np.ndarray:
@@ -84,7 +151,7 @@ LOWER[0x41:0x5B] += 32
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and each row's offsets in them; a null has no bytes."""
+    """The bytes of a string column (of a slice, only its own) and each row's offsets in them; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
@@ -96,7 +163,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         empty = np.diff(offsets)[np.asarray(column.is_null())]
         if empty.any():  # the format allows bytes behind a null
             return raw(column.fill_null(""))
-    return np.frombuffer(buffers[2], np.uint8), offsets
+    return np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 @dataclass
@@ -127,8 +194,7 @@ def words(column: pa.Array, in_word: np.ndarray = PLAIN_WORDS, lower: bool = Tru
     in_word has a class for each byte, 0 for what stands between words; where split is given, a word also
     ends between two bytes of classes x and y if split[x, y].
 
-    A word's hash is a polynomial of its bytes modulo 2**64, then mixed; it is taken from running sums,
-    so the work is a few array operations per byte whatever the words' lengths are.
+    Hashes are those of `range_hashes`; the work is a few array operations per byte whatever the words' lengths are.
     """
     data, offsets = raw(column)
     starts, ends, hashes = [], [], []
@@ -150,10 +216,7 @@ def words(column: pa.Array, in_word: np.ndarray = PLAIN_WORDS, lower: bool = Tru
         last[:-1] &= ~inside[1:] | first[1:]
         last[cuts - 1] = inside[cuts - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _powers(len(part) + 1)
-        sums = np.zeros(len(part) + 1, U64)
-        np.cumsum(((LOWER[part] if lower else part).astype(U64) + U64(1)) * up[: len(part)], out=sums[1:])
-        hashes.append(mix((sums[e] - sums[s]) * down[s]))
+        hashes.append(range_hashes(LOWER[part] if lower else part, s, e))
         starts.append(s + at)
         ends.append(e + at)
         at = end
