@@ -10,21 +10,22 @@ probability of about 0.8 ** ELL, and all elements miss with (1 - 0.8 ** ELL) **
 A candidate pair is a link if its k-mer multisets have a Jaccard similarity of at least 0.8 and an
 alignment in a band of 20 % of the longer text's words finds an edit similarity of at least 0.8.
 
-At scale: equal texts collapse first (one row per text digest). A bucket (element) of n texts gives at
-first 2 n candidates: each text with the bucket's least id, and, where one of two texts that
-are neighbours in the order of their other elements isn't linked to that, those two. The least id comes from a partial aggregation, the
-neighbours from a range sort on (bucket, order), so that a bucket that holds a third of all texts is
-spread over many tasks. Links become groups by label propagation with pointer jumping, on tables in the
-shared folder. Then the texts of buckets that hold several groups are compared across groups (``rest``): all
-pairs but those that an exact bound rules out. With the k-mers of each text put into one common order, rare ones
-first, two texts of the similarity share one of the first 20 % of each, at places that leave enough k-mers
-behind them. The order comes from hashed counts; an inexact count costs time, never a pair. A k-mer of many
-texts is joined in square blocks. Pairs within a group aren't compared further, since they can't change it;
-``n_links`` counts the links that were found. Nothing but counters reaches the driver.
-
-Nulls: a document with null text is a group of its own, as is a null id (which stays null). Texts without
-words are copies of each other only if they are equal. A group's id is its least doc_id; rows that repeat
-a doc_id have that text's group. An empty table gives an empty result. Extra columns are not touched.
+At scale: equal texts collapse first: a node is a distinct text, told by 128 bits of SHA-256. A bucket (element) of n
+texts gives at first 2 n candidates: each text with the bucket's least node, and, where one of two texts that are
+neighbours in the order of their other elements isn't linked to that, those two. Links become groups by label
+propagation with pointer jumping, on tables in the shared folder. Then the texts of buckets that hold several groups are
+compared across groups (``rest``): all pairs but those that an exact bound rules out, so groups depend neither on the order
+nor on the partitions of the input. With the k-mers of each text put into one common order, rare ones first, two texts
+of the similarity share one of the first 20 % of each, at places that leave enough k-mers behind them. The order comes
+from hashed counts; an inexact count costs time, never a pair. A k-mer of many texts is joined in square blocks. Pairs
+within a group aren't compared further, since they can't change it. Where one text, bucket, node or group may hold a third
+of all rows, joins deal its rows over many tasks (``util.spread_join``). Only texts that are somebody's candidate are
+written a second time. Nothing but counters reaches the driver.
+
+Nulls: a document with null text is a group of its own, as is a null id (which stays null). Texts without words are
+copies of each other only if they are equal. A group's id is its least doc_id; rows that repeat a doc_id with
+different texts are judged by their texts. Ids are whole numbers. An empty table gives an empty result. Other columns
+are not touched.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.util import PLAIN_WORDS, U64, mix, pieces, words, written
+from rillmark.llm.util import PLAIN_WORDS, U64, mix, pieces, remove, salted, spread_join, words, written
 
 K, ELL, ELEMENTS, SIMILARITY = 5, 3, 14, 0.8
 #: Low bits of a hashed k-mer that hold its position.
@@ -169,13 +170,18 @@ def _parts(column: pa.Array):
     return w, bounds, x, to
 
 
+def digest(text: F.Column) -> F.Column:
+    """What `_sketches` calls a text by."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def _sketches(batches):
     for batch in pieces(batches):
-        w, bounds, x, to = _parts(batch.column(1))
+        _, _, x, to = _parts(batch.column(1))
         s = sketch(x, to).view(np.int64)
         has = np.diff(to) > 0
         elements = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * ELEMENTS)]).astype(np.int32)), pa.array(s[has].reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(t.as_buffer() if t.is_valid else b"", digest_size=16).digest() for t in batch.column(1)], pa.binary()), pa.array(np.diff(bounds)), elements], ["doc_id", "digest", "n_words", "elements"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t.as_buffer()).digest()[:16] for t in batch.column(1)], pa.binary()), elements], ["doc_id", "digest", "elements"])
 
 
 def _verify(batches):
@@ -208,7 +214,7 @@ def _neighbours(batches):
 
 
 def _frequencies(batches):
-    """(doc_id, text) to (slot, n): the task's k-mers by their low bits."""
+    """(node, text) to (slot, n): the task's k-mers by their low bits."""
     n = np.zeros(COUNTERS, np.int64)
     for batch in pieces(batches):
         x = _parts(batch.column(1))[2]
@@ -218,7 +224,7 @@ def _frequencies(batches):
 
 
 def _prefixes(counts: np.ndarray):
-    """(doc_id, text) to (kmer, doc, at, size): of each text's k-mers, rare ones first, those of which a similar text has one."""
+    """(node, text) to (kmer, doc, at, size): of each text's k-mers, rare ones first, those of which a similar text has one."""
 
     def run(batches):
         for batch in pieces(batches):
@@ -234,12 +240,12 @@ def _prefixes(counts: np.ndarray):
     return run
 
 
-def rest(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+def rest(members: DataFrame, labels: DataFrame, opened: DataFrame) -> DataFrame:
     """(a, b): the pairs of different groups in buckets of several groups that may have the similarity."""
     placed = members.join(labels, members.doc == labels.node, "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
     several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket")
     docs = written(placed.join(several, "bucket", "left_semi").select("doc", "label").distinct(), "open")
-    texts = known.join(docs.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    texts = opened.join(docs.select(F.col("doc").alias("node")), "node", "left_semi").select("node", "text")
     told = texts.mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
     counts = np.zeros(COUNTERS, np.int64)
     counts[told.column("slot").to_numpy()] = told.column("n").to_numpy()
@@ -267,66 +273,90 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "links")
     labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
+        named = spread_join(both, labels.withColumnRenamed("node", "v"), ["v"], ["u"])  # the hub of a star is many links' v
+        near = named.groupBy("u").agg(F.min("label").alias("near"))
         took = labels.join(near, labels.node == near.u).select("node", "label", F.least("label", "near").alias("took"))
-        of = labels.select(F.col("node").alias("n2"), F.col("label").alias("further"))
-        after = written(took.join(of, took.took == of.n2, "left").select("node", F.least("took", F.coalesce("further", "took")).alias("label"), F.col("label").alias("old")), "labels")
+        of = labels.select(F.col("node").alias("took"), F.col("label").alias("further"))
+        after = spread_join(took, of, ["took"], ["node"], "left").select("node", F.least("took", F.coalesce("further", "took")).alias("label"), F.col("label").alias("old"))
+        after = written(after, "labels")
+        remove(labels)
         changed = not after.filter("label <> old").isEmpty()
         labels = after.select("node", "label")
         if not changed:
+            remove(both)
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, n_links (links of its text to different texts), is_representative."""
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, class_id, class_size, rep) of rows with an id and a text (rep: the digest of the group's own text), and the source rows."""
+    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     known = src.filter("doc_id is not null and text is not null")
-    sketched = written(known.mapInArrow(_sketches, "doc_id long, digest binary, n_words long, elements array<long>"), "sketches")
-    texts = sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    copies = written(sketched.select("doc_id", "digest").join(texts, "digest").select("doc_id", "rep"), "copies")
-    # a text's row is the one of its least id; rows that repeat an id with other texts each keep their own
-    one = sketched.join(texts, (sketched.digest == texts.digest) & (sketched.doc_id == texts.rep)).select("doc_id", "elements").dropDuplicates(["doc_id", "elements"])
+    sketched = written(salted(known.mapInArrow(_sketches, "doc_id long, digest binary, elements array<long>"), "doc_id"), "sketches")
+    # copies of a text collapse in two steps, so that no task has them all: by share, then by text
+    shares = written(sketched.groupBy("digest", "_salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.any_value("elements").alias("elements")), "shares")
+    texts = shares.groupBy("digest").agg(F.min("least").alias("least"), F.any_value("elements").alias("elements"))
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     further = lambda k: F.element_at("elements", (F.col("i") + k) % ELEMENTS + 1)
-    rows = one.select(F.col("doc_id").alias("doc"), "elements", F.posexplode("elements").alias("i", "bucket")).select("bucket", "doc", further(1).alias("p1"), further(2).alias("p2"))
-    least = rows.groupBy("bucket").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = written(rows.join(least, "bucket"), "members")
+    rows = texts.select(F.col("node").alias("doc"), "elements", F.posexplode("elements").alias("i", "bucket")).select("bucket", "doc", further(1).alias("p1"), further(2).alias("p2"))
+    hubs = rows.groupBy("bucket").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = written(spread_join(rows, hubs, ["bucket"], ["doc"]), "members")
+    open_ = members.select(F.col("doc").alias("node")).distinct().join(texts.select("node", "least", "digest"), "node")
+    opened = known.join(open_, known.doc_id == open_.least).filter(F.col("digest") == digest(F.col("text"))).groupBy("node").agg(F.any_value("text").alias("text"))
+    opened = written(opened, "opened")
     star = members.filter("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
-    checked = written(_checked(star, known), "star")
-    good = checked.filter("ok").select(F.col("a").alias("least"), F.col("b").alias("doc"), F.lit(True).alias("linked")).distinct()
+    checked = written(_checked(star, opened), "star")
+    good = checked.filter("ok").select(F.col("a").alias("least"), F.col("b").alias("doc"), F.lit(True).alias("linked"))
     sorted_ = members.join(good, ["least", "doc"], "left").select("bucket", "p1", "p2", "doc", (F.coalesce("linked", F.lit(False)) | (F.col("doc") == F.col("least"))).alias("ok")).repartitionByRange("bucket", "p1", "p2", "doc").sortWithinPartitions("bucket", "p1", "p2", "doc")
     chain = sorted_.mapInArrow(_neighbours, "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    compared = checked.unionByName(written(_checked(chain, known), "chain"))
+    compared = checked.unionByName(written(_checked(chain, opened), "chain"))
     links = written(compared.filter("ok").select("a", "b"), "linked")
     labels = components(links)
-    more = written(_checked(rest(members, labels, known).join(compared.select("a", "b"), ["a", "b"], "left_anti"), known), "rest").filter("ok").select("a", "b")
+    more = written(_checked(rest(members, labels, opened).join(compared.select("a", "b"), ["a", "b"], "left_anti"), opened), "rest").filter("ok").select("a", "b")
     if not more.isEmpty():
         links = written(links.unionByName(more), "linked")
         labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classes = written(classes, "classes")
-    sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = classes.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "n_links", (F.col("doc_id") == F.col("class_id")).alias("is_representative"))
-    alone = src.filter("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_representative"))
+    # a group's facts from its texts' shares, then back to these, and from these to the rows
+    labelled = texts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    labelled = written(shares.select("digest", "_salt", "least", "n").join(labelled, "digest"), "labelled")
+    groups = labelled.groupBy("label").agg(F.min(F.struct("least", "digest")).alias("first"), F.sum("n").alias("class_size"))
+    groups = groups.select("label", F.col("first.least").alias("class_id"), F.col("first.digest").alias("rep"), "class_size")
+    facts = spread_join(labelled.select("digest", F.col("_salt").alias("share"), "label"), groups, ["label"], ["digest", "share"]).drop("label")
+    rows = sketched.select("doc_id", "digest", F.col("_salt").alias("share"))
+    return rows.join(facts, ["digest", "share"]).select("doc_id", "digest", "class_id", "class_size", "rep"), src
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id, class_size, is_representative (the row, and its repetitions, that stands for the group)."""
+    found, src = _grouped(docs, doc_id, text)
+    out = found.select("doc_id", "class_id", "class_size", ((F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("rep"))).alias("is_representative"))
+    alone = src.filter("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("is_representative"))
     return out.unionByName(alone)
 
 
-def _checked(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, ok): the texts travel once for b and once for a, and pairs of one a stay together."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = known.join(ids, "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+def _checked(pairs: DataFrame, opened: DataFrame) -> DataFrame:
+    """(a, b, ok): the texts travel once for b and once for a and share; pairs of one a and share stay together."""
+    texts = lambda end: opened.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
+    dealt = salted(written(pairs, "pairs"), "b")
+    left = dealt.select("a", "_salt").distinct().join(texts("a"), "a")
+    both = dealt.join(texts("b"), "b").join(left, ["a", "_salt"]).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_verify, "a long, b long, ok boolean")
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: the one with the least id. Of rows that repeat an id and a text, one."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text)
-    gone = found.filter("doc_id is not null and not is_representative").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
-    again = written(docs.groupBy(F.col(doc_id).alias("_again")).count().filter("_again is not null and count > 1").select("_again"), "repeated")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, kept[doc_id] == again["_again"], "left_anti").unionByName(kept.join(again, kept[doc_id] == again["_again"], "left_semi").dropDuplicates([doc_id, text]))
+    """One document of each group: of its rows with the least id the one whose text's digest is least.
+
+    Rows without an id or a text stay. Of rows that repeat an id and a text one stays: where other columns differ,
+    the one whose hash is least, so that reruns agree.
+    """
+    found, _ = _grouped(docs, doc_id, text)
+    gone = found.filter((F.col("doc_id") != F.col("class_id")) | (F.col("digest") != F.col("rep"))).select("doc_id", "digest").distinct()
+    again = written(found.filter((F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("rep"))).groupBy("doc_id", "digest").count().filter("count > 1"), "repeated")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, F.col(f"`{doc_id}`").cast("long").alias("_i"), F.col(f"`{text}`").cast("string").alias("_t")).select("_row", "_i", F.when(F.col("_i").isNotNull(), digest(F.col("_t"))).alias("_d"))
+    kept = keyed.join(gone, (F.col("_i") == F.col("doc_id")) & (F.col("_d") == F.col("digest")), "left_anti")
+    if not again.isEmpty():
+        mine = (F.col("_i") == F.col("doc_id")) & (F.col("_d") == F.col("digest"))
+        hashed = F.xxhash64(*[F.col("_row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+        one = kept.join(again, mine, "left_semi").groupBy("_i", "_d").agg(F.min_by("_row", hashed).alias("_row")).select("_row")
+        return kept.join(again, mine, "left_anti").select("_row.*").unionByName(one.select("_row.*"))
+    return kept.select("_row.*")

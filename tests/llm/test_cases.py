@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rillmark.llm import sst, util
+from rillmark.llm import near_dedup, sst, util
 from rillmark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -66,3 +66,71 @@ def test_shards_of_one_repeated_id(spark):
     for _, start, n, _ in sorted(got, key=lambda g: g[1]):
         assert start == at
         at += n
+
+
+def classes_by_hand(rows):
+    """Least id of each row's group, by comparing every two texts."""
+    texts = sorted({t for i, t in rows if i is not None and t is not None})
+    parts = near_dedup._parts(pa.array(texts, pa.string()))
+    opened = [(parts[0].hash[parts[1][k] : parts[1][k + 1]], np.sort(parts[2][parts[3][k] : parts[3][k + 1]])) for k in range(len(texts))]
+    group = list(range(len(texts)))
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    sizes = np.array([len(x) for _, x in opened])
+    for k in range(len(texts)):
+        for j in np.flatnonzero((sizes[:k] >= 0.8 * sizes[k]) & (sizes[:k] <= 1.25 * sizes[k]) & (sizes[:k] > 0)).tolist():
+            if root(j) != root(k) and near_dedup.alike(opened[j], opened[k]):
+                group[root(k)] = root(j)
+    least = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            r = root(texts.index(t))
+            least[r] = min(i, least.get(r, i))
+    return [(i, least[root(texts.index(t))] if i is not None and t is not None else i) for i, t in rows]
+
+
+def families(n, each, seed=4):
+    """Families of near copies: each member differs from the last one by a word or two."""
+    rng, out = np.random.default_rng(seed), []
+    for f in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 4000, 60)]
+        for _ in range(each):
+            words = words.copy()
+            for at in rng.integers(0, 60, rng.integers(1, 3)):
+                words[at] = f"x{rng.integers(0, 1 << 40)}"
+            out.append(" ".join(words))
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+@pytest.mark.parametrize("parts", [1, 200])
+def test_groups_are_those_of_all_pairs(spark, parts):
+    rows = list(enumerate(families(20, 15)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts if parts > 1 else 4)
+    try:
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = dict(classes_by_hand(rows))
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+
+
+def test_groups_of_the_table_are_those_of_all_pairs(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(classes_by_hand(rows))
+    assert sum(got[i] == want[i] for i in want) >= 0.995 * len(want)
+
+
+def test_deduplicate_keeps_every_text(spark):
+    a, b = BASE, " ".join(reversed(BASE.split()))
+    near = a.replace("quick", "slow")
+    d = spark.createDataFrame([(3, a, "x"), (5, b, "x"), (5, near, "x"), (7, None, "x"), (None, a, "x"), (9, b, "z"), (5, b, "w")], "doc_id long, text string, digest string")
+    kept = [tuple(r) for r in near_dedup.deduplicate(d).collect()]
+    assert sorted(k[:2] for k in kept if k[0] in (3, 5, 9)) == [(3, a), (5, b)]
+    assert (7, None, "x") in kept and (None, a, "x") in kept and len(kept) == 4
+    assert sorted(map(repr, near_dedup.deduplicate(d.repartition(5)).collect())) == sorted(map(repr, near_dedup.deduplicate(d).collect()))
