@@ -1,9 +1,10 @@
 """Language-model scoring by deleted interpolation.
 
-    P(w | v) = a[b(v)] * c(v w) / c(v) + (1 - a[b(v)]) * (u * c(w) / N + (1 - u) / (V + 1))
+    P(w | v) = l2[b] * c(v w) / c(v) + l1[b] * c(w) / N + l0[b] / (V + 1),   b = b(v), l2 + l1 + l0 = 1
 
-``b(v)`` is the bucket of the context's frequency (its binary logarithm). The weights a[.] and u are
-learned by expectation-maximisation on a fold of the training documents that is left out of the counts c.
+``b(v)`` is the bucket of the context's frequency (its binary logarithm); each bucket has its own three weights. They are
+learned by expectation-maximisation on a fold of the training documents that is left out of the counts meanwhile;
+the scores then use the counts of all training documents, that fold's too.
 
 A shuffle of every n-gram occurrence, and one back, would be many times the input. Instead:
 
@@ -14,41 +15,44 @@ A shuffle of every n-gram occurrence, and one back, would be many times the inpu
    to reducers by ranges of the hash. A frequent n-gram is one entry per block, so no key is hot, and
    reducers are as many as the entries ask for.
 3. A reducer sums them and sends each block the totals of just its entries, in its order.
-4. Each block turns the totals into per-token counts, written once; both the fold's statistics (added
-   up in Spark over quantised probabilities) and the scores are read from these.
+4. Each block turns the totals into per-token counts, written once; both the fold's statistics and the scores
+   are read from these. For EM, tokens whose probabilities agree to 1/STEPS of a factor of 2 share a cell; a cell keeps
+   the exact sums of its probabilities (whole numbers, so that reruns agree), not the rounded ones.
 
-All counts cover all training documents, at every size. Words are told apart by 64-bit hashes and word
-pairs by PAIR_BITS: among n distinct ones about n*n/2**(bits + 1) are taken for another.
+All counts cover all training documents, at every size. Words and word pairs are told apart by 64-bit hashes: among n
+distinct ones about n*n/2**65 are taken for another (3 of 10 billion).
 
-Null text is empty text: one end token. A repeated document is counted and scored as often as it occurs.
-An empty table gives an empty result. Extra columns are ignored; only the id and the text are read.
+Null text is empty text: one end token. A null id has no remainder: such a document is trained on and not held out. Ids
+are whole numbers. A repeated document is counted and scored as often as it occurs. An empty table gives an empty
+result. Extra columns are ignored; only the id and the text are read.
 """
 
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.util import SPACED_WORDS, U64, mix, pack, pack_sorted, pieces, release, unpack, unpack_sorted, words, written
+from rillmark.llm.util import SPACED_WORDS, U64, mix, pack, pack_sorted, pieces, release, remove, unpack, unpack_sorted, words, written
 
 END, BEGIN = U64(0xE17A146669257AE7), U64(0xB0ABAB0DBD5BA01D)
 HELD_OUT, FOLD, CORE = 0, 1, 2
-PAIR_BITS = 52
+NO_ID = 4  # a flag beside the fold
 BLOCK_TOKENS = 1 << 20
 #: Entries (distinct n-grams of one block) that one reducer's group holds, about.
 GROUP_ENTRIES = 2 << 20
-#: Steps per factor of 2 to which the fold's probabilities are rounded when the weights are learned.
-STEPS = 2
+#: Cells per factor of 2 of each probability when the weights are learned, and the units in which their sums are kept.
+STEPS, UNIT = 8, 1 << 40
 _BLOCK = "block long, docs binary, folds binary, lengths binary, vocabulary binary, tokens binary, n_tokens long, n_entries long"
 
 
 def bigrams(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """PAIR_BITS bits of hash: their sorted differences are most of what is shuffled."""
-    return mix(before * U64(0xD6E8FEB86659FD93) + after + U64(1)) >> U64(64 - PAIR_BITS)
+    """Their sorted differences are most of what is shuffled."""
+    return mix(mix(before ^ U64(0xD6E8FEB86659FD93)) ^ after)
 
 
 def _blocks(batches):
@@ -103,33 +107,35 @@ class Block:
         before = np.concatenate([[BEGIN], h[:-1]]).astype(U64)
         before[self.first] = BEGIN
         self.pairs, self.pair = np.unique(bigrams(before, h), return_inverse=True)
-        self.fold = np.repeat(self.folds, self.lengths)
+        self.fold = np.repeat(self.folds & 3, self.lengths)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the unigrams in the core and in the fold, of the bigrams in the core."""
-        core = self.fold == CORE
-        v, p = len(self.vocabulary), len(self.pairs)
-        return np.bincount(self.tokens[core], minlength=v), np.bincount(self.tokens[self.fold == FOLD], minlength=v), np.bincount(self.pair[core], minlength=p)
+    def counts(self) -> list[np.ndarray]:
+        """Of the unigrams in the core and in the fold, of the bigrams in the core and in the fold."""
+        return [np.bincount(x[self.fold == f], minlength=n) for x, n in ((self.tokens, len(self.vocabulary)), (self.pair, len(self.pairs))) for f in (CORE, FOLD)]
 
 
-def _edges(groups: int, bits: int) -> np.ndarray:
+def _edges(groups: int) -> np.ndarray:
     """The first hash of each reducer's range but the first."""
-    return np.array([(i << bits) // groups for i in range(1, groups)], U64)
+    return np.array([(i << 64) // groups for i in range(1, groups)], U64)
+
+
+_COUNTS = ("core", "fold", "pair", "pair_fold")
 
 
 def _requests(groups: int):
-    edges = _edges(groups, 64), _edges(groups, PAIR_BITS)
+    edges = _edges(groups)
 
     def run(batches):
         for batch in batches:
             release()
             for row in batch.to_pylist():
                 b = Block(row)
-                core, fold, pair = b.counts()
-                u, p = ([0, *np.searchsorted(x, e), len(x)] for x, e in zip((b.vocabulary, b.pairs), edges, strict=True))
-                rows = [(g, row["block"], pack_sorted(b.vocabulary[u[g] : u[g + 1]]), pack(core[u[g] : u[g + 1]]), pack(fold[u[g] : u[g + 1]]), pack_sorted(b.pairs[p[g] : p[g + 1]]), pack(pair[p[g] : p[g + 1]])) for g in range(groups)]
+                counts = b.counts()
+                u, p = ([0, *np.searchsorted(x, edges), len(x)] for x in (b.vocabulary, b.pairs))
+                part = lambda x, at, g: x[at[g] : at[g + 1]]
+                rows = [(g, row["block"], pack_sorted(part(b.vocabulary, u, g)), pack_sorted(part(b.pairs, p, g)), *[pack(part(x, at, g)) for x, at in zip(counts, (u, u, p, p), strict=True)]) for g in range(groups)]
                 for at in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[at : at + 64], strict=True), [pa.int64()] * 2 + [pa.binary()] * 5, strict=True)], ["g", "block", "words", "core", "fold", "pairs", "pair"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[at : at + 64], strict=True), [pa.int64()] * 2 + [pa.binary()] * 6, strict=True)], ["g", "block", "words", "pairs", *_COUNTS])
 
     return run
 
@@ -144,46 +150,49 @@ def _reduce(table: pa.Table) -> pa.Table:
     """Answers one reducer's requests. Row -1 tells its share of N and V."""
     release()
     column = lambda name, f: [f(x.as_py()) for x in table.column(name)]
-    block = table.column("block").to_pylist()
+    block, g = table.column("block").to_pylist(), table.column("g")[0].as_py()
     w, p = column("words", unpack_sorted), column("pairs", unpack_sorted)
     wp, (core, fold) = _totals(w, [column("core", unpack), column("fold", unpack)])
-    pp, (pair,) = _totals(p, [column("pair", unpack)])
+    pp, (pair, pair_fold) = _totals(p, [column("pair", unpack), column("pair_fold", unpack)])
     wend, pend = np.cumsum([len(x) for x in w]), np.cumsum([len(x) for x in p])
-    out = {"g": [], "block": [], "core": [], "fold": [], "pair": [], "n": [], "v": [], "n_core": []}
-    g = table.column("g")[0].as_py()
+    rows = []
     for i, b in enumerate(block):
         mine, its = wp[wend[i] - len(w[i]) : wend[i]], pp[pend[i] - len(p[i]) : pend[i]]
-        for k, v in (("g", g), ("block", b), ("core", pack(core[mine])), ("fold", pack(fold[mine])), ("pair", pack(pair[its])), ("n", 0), ("v", 0), ("n_core", 0)):
-            out[k].append(v)
-    for k, v in (("g", g), ("block", -1), ("core", b""), ("fold", b""), ("pair", b""), ("n", int(core.sum() + fold.sum())), ("v", int(np.count_nonzero(core + fold))), ("n_core", int(core.sum()))):
-        out[k].append(v)
-    return pa.table([pa.array(v, pa.binary() if k in ("core", "fold", "pair") else pa.int64()) for k, v in out.items()], [*out])
+        rows.append((g, b, pack(core[mine]), pack(fold[mine]), pack(pair[its]), pack(pair_fold[its]), 0, 0, 0))
+    rows.append((g, -1, b"", b"", b"", b"", int(core.sum() + fold.sum()), int(np.count_nonzero(core + fold)), int(core.sum())))
+    return pa.table([pa.array(x, pa.binary() if k in _COUNTS else pa.int64()) for k, x in zip(_REPLY_NAMES, zip(*rows, strict=True), strict=True)], _REPLY_NAMES)
 
 
-_REPLY = "g long, block long, core binary, fold binary, pair binary, n long, v long, n_core long"
-_COUNTED = "docs binary, folds binary, lengths binary, uni binary, rest binary, pair binary"
+_REPLY = "g long, block long, core binary, fold binary, pair binary, pair_fold binary, n long, v long, n_core long"
+_REPLY_NAMES = [x.split()[0] for x in _REPLY.split(", ")]
+_COUNTED = "docs binary, folds binary, lengths binary, core binary, fold binary, pair binary, pair_fold binary"
 
 
 def _count(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block and its replies: per token c(w), its count in the fold, and c(v w)."""
+    """A block and its replies: per token c(w) and c(v w), without the fold and in it."""
     release()
     row = left.to_pylist()[0]
     b = Block(row)
     replies = right.sort_by("g")
-    core, fold, pair = (np.concatenate([unpack(x.as_py()) for x in replies.column(k)]).astype(np.int64) for k in ("core", "fold", "pair"))
-    out = [row["docs"], row["folds"], row["lengths"], *map(pack, (core[b.tokens], fold[b.tokens], pair[b.pair]))]
+    out = [row["docs"], row["folds"], row["lengths"]]
+    for name, at in zip(_COUNTS, (b.tokens, b.tokens, b.pair, b.pair), strict=True):
+        out.append(pack(np.concatenate([unpack(x.as_py()) for x in replies.column(name)])[at]))
     return pa.table([pa.array([x], pa.binary()) for x in out], [x.split()[0] for x in _COUNTED.split(", ")])
 
 
-def _opened(batches, core_docs: int):
+def _opened(batches, starts: dict[str, int]):
+    """Per block: ids, folds, lengths, and for "core" and "all" counts of the word, its context and the pair."""
     for batch in batches:
         release()
         for row in batch.to_pylist():
             lengths = unpack(row["lengths"]).astype(np.int64)
-            uni, rest, pair = (unpack(row[k]).astype(np.int64) for k in ("uni", "rest", "pair"))
-            context = np.concatenate([[0], uni[:-1]])
-            context[np.cumsum(lengths) - lengths] = core_docs
-            yield unpack(row["docs"]).view(np.int64), unpack(row["folds"]).astype(np.int8), lengths, uni, uni + rest, context, pair
+            core, fold, pair, pair_fold = (unpack(row[k]).astype(np.int64) for k in _COUNTS)
+            first, counts = np.cumsum(lengths) - lengths, {}
+            for name, uni, two in (("core", core, pair), ("all", core + fold, pair + pair_fold)):
+                context = np.concatenate([[0], uni[:-1]])
+                context[first] = starts[name]
+                counts[name] = uni, context, two
+            yield unpack(row["docs"]).view(np.int64), unpack(row["folds"]).astype(np.int8), lengths, counts
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -191,71 +200,83 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.frexp(context.astype(float))[1]
 
 
-def learn(cells: list[tuple], rounds: int = 60) -> tuple[dict[int, float], float]:
-    """EM over cells (bucket, f(w|v), f(w), floor, tokens): the weights a by bucket, and u."""
-    if not cells:
-        return {}, 0.5
-    b, f2, f1, f0, n = (np.array(x) for x in zip(*cells, strict=True))
-    names, place = np.unique(b, return_inverse=True)
-    a, u = np.full(len(names), 0.5), 0.5
-    a[names == 0] = 0
-    for _ in range(rounds):
-        low1, low0 = u * f1, (1 - u) * f0
-        two = a[place] * f2
-        rest = (1 - a[place]) * (low1 + low0)
-        total = two + rest
-        a = np.bincount(place, n * two / total, len(names)) / np.bincount(place, n, len(names))
-        share = n * rest / total
-        u = float((share * low1 / (low1 + low0)).sum() / max(share.sum(), 1e-300))
-        a, u = np.minimum(a, 1 - 1e-6), min(max(u, 1e-6), 1 - 1e-6)
-    return dict(zip(names.tolist(), a.tolist(), strict=True)), u
+def _exact_sums(values: np.ndarray, place: np.ndarray, n: int) -> list[Decimal]:
+    """Sums of whole numbers of up to 40 bits by place; in two halves, so that no sum of a block rounds."""
+    high, low = (np.bincount(place, x, n).tolist() for x in (values >> 20, values & ((1 << 20) - 1)))
+    return [Decimal((int(h) << 20) + int(x)) for h, x in zip(high, low, strict=True)]
+
+
+def learn(cells: list[tuple], rounds: int = 200) -> dict[int, tuple[float, float, float]]:
+    """EM over cells (bucket, f(w|v), f(w), floor, tokens): each bucket's weights (l2, l1, l0)."""
+    out = {}
+    for name in sorted({c[0] for c in cells}):
+        f, n = np.array([c[1:4] for c in cells if c[0] == name]), np.array([c[4] for c in cells if c[0] == name], float)
+        l = np.array([0.0, 0.5, 0.5] if name == 0 else [1 / 3] * 3)  # noqa: E741 - an unseen context has no followers
+        for _ in range(rounds):
+            share = f * l
+            share *= (n / share.sum(1))[:, None]
+            l = np.maximum(share.sum(0) / n.sum(), [0.0 if name == 0 else 1e-6, 1e-6, 1e-6])  # noqa: E741
+            l /= l.sum()  # noqa: E741
+        out[name] = tuple(l.tolist())
+    return out
+
+
+def weight_table(weights: dict[int, tuple]) -> np.ndarray:
+    """Weights by bucket; one that the fold lacks takes the nearest lower one's, at first those of an unseen context."""
+    table = np.zeros((66, 3))
+    table[0] = weights.get(0, (0.0, 0.5, 0.5))
+    for k in range(1, 66):
+        table[k] = weights.get(k, table[k - 1])
+    return table
 
 
 def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
-    Folds by r = crc32(doc_id as text) mod 10: 0 is held out, 1 is the fold that sets the weights, the
-    others give the counts; base_score's counts take 1 to 9.
+    Folds by r = crc32(doc_id as text) mod 10: 0 is held out, 1 is the fold that sets the weights; both
+    base_score and score then count 1 to 9.
     """
-    r = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10
-    fold = F.when(r == 0, HELD_OUT).when(r == 1, FOLD).otherwise(CORE).cast("int")
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), fold.alias("fold")).filter("doc_id is not null")
+    r = F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 10
+    fold = F.when(r == 0, HELD_OUT).when(r == 1, FOLD).when(r.isNull(), CORE | NO_ID).otherwise(CORE).cast("int")
+    src = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(0)).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), fold.alias("fold"))
     blocks = written(src.mapInArrow(_blocks, _BLOCK), "lm-blocks")
-    entries = blocks.agg(F.sum("n_entries")).first()[0] or 0
+    told = blocks.agg(F.sum("n_entries").alias("entries"), F.count("*").alias("blocks")).first()
+    entries, parts = told.entries or 0, max(1, told.blocks)
     groups = max(1, math.ceil(entries / GROUP_ENTRIES), blocks.sparkSession.sparkContext.defaultParallelism if entries > 1 << 20 else 1)
-    asked = blocks.mapInArrow(_requests(groups), "g long, block long, words binary, core binary, fold binary, pairs binary, pair binary")
+    asked = blocks.mapInArrow(_requests(groups), "g long, block long, words binary, pairs binary, core binary, fold binary, pair binary, pair_fold binary")
     replies = asked.repartition(groups, "g").groupBy("g").applyInArrow(_reduce, _REPLY)
     replies = written(replies, "lm-replies")
     told = replies.filter("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("n_core").alias("n_core")).first()
     n_all, v_all, n_core = (int(told[k] or 0) for k in ("n", "v", "n_core"))
-    core_docs = src.filter(F.col("fold") == CORE).count()
-    parts = max(1, blocks.count())
+    told = src.agg(F.count_if(F.col("fold").isin(CORE, CORE | NO_ID)).alias("core"), F.count_if(F.col("fold") == FOLD).alias("fold")).first()
+    starts = {"core": told.core, "all": told.core + told.fold}
     counted = written(blocks.repartition(parts, "block").groupBy("block").cogroup(replies.filter("block >= 0").repartition(parts, "block").groupBy("block")).applyInArrow(_count, _COUNTED), "lm-counts")
+    remove(replies)
+    remove(blocks)
 
     def statistics(batches):
-        for _, folds, lengths, uni, _, context, pair in _opened(batches, core_docs):
-            use = np.repeat(folds == FOLD, lengths)
-            c1, cv, c2 = uni[use], context[use], pair[use]
-            q = lambda top, under: np.where(top > 0, 1 - np.round(STEPS * np.log2(np.maximum(top, 1) / np.maximum(under, 1))), 0).astype(np.int64)
-            cell, n = np.unique((bucket(cv).astype(np.int64) << 32) + (q(c2, cv) << 16) + q(c1, n_core), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
-
-    back = lambda q: 2.0 ** ((1 - q) / STEPS) if q else 0.0
+        for _, folds, lengths, counts in _opened(batches, starts):
+            use = np.repeat(folds & 3 == FOLD, lengths)
+            c1, cv, c2 = (x[use] for x in counts["core"])
+            f2, f1 = c2 / np.maximum(cv, 1), c1 / max(n_core, 1)
+            q = lambda f: np.where(f > 0, 1 - np.round(STEPS * np.log2(np.where(f > 0, f, 1))), 0).astype(np.int64)
+            cell, place, n = np.unique((bucket(cv).astype(np.int64) << 32) + (q(f2) << 16) + q(f1), return_inverse=True, return_counts=True)
+            sums = [_exact_sums(np.round(f * UNIT).astype(np.int64), place, len(cell)) for f in (f2, f1)]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n), *[pa.array(x, pa.decimal128(38, 0)) for x in sums]], ["cell", "n", "s2", "s1"])
+
     # few cells: buckets and rounded logarithms, not n-grams
-    cells = [(x.cell >> 32, back(x.cell >> 16 & 0xFFFF), back(x.cell & 0xFFFF), 1 / (v_all + 1), x.n) for x in counted.mapInArrow(statistics, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()]
-    weights, u = learn(cells)
-    table = np.zeros(66)
-    for k in range(1, 66):  # a bucket that the fold lacks takes the nearest lower one's weight
-        table[k] = weights.get(k, table[k - 1] if k > 1 else 0.0)
+    cells = counted.mapInArrow(statistics, "cell long, n long, s2 decimal(38,0), s1 decimal(38,0)").groupBy("cell").agg(*[F.sum(k).alias(k) for k in ("n", "s2", "s1")]).orderBy("cell").collect()
+    table = weight_table(learn([(x.cell >> 32, float(x.s2) / UNIT / x.n, float(x.s1) / UNIT / x.n, 1 / (v_all + 1), x.n) for x in cells]))
 
     def scores(batches):
-        for ids, folds, lengths, uni, known, context, pair in _opened(batches, core_docs):
+        for ids, folds, lengths, counts in _opened(batches, starts):
             doc = np.repeat(np.arange(len(ids)), lengths)
-            a = np.where(context > 0, table[bucket(context)], 0)
-            p = a * pair / np.maximum(context, 1) + (1 - a) * (u * uni / max(n_core, 1) + (1 - u) / (v_all + 1))
+            uni, context, pair = counts["all"]
+            l = table[bucket(context)]  # noqa: E741
+            p = l[:, 0] * pair / np.maximum(context, 1) + l[:, 1] * uni / max(n_all, 1) + l[:, 2] / (v_all + 1)
             add = lambda x: np.bincount(doc, x, len(ids))
-            base = add(np.log10((known + 0.1) / (n_all + 0.1 * (v_all + 1))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(folds == HELD_OUT), pa.array(lengths), pa.array(add(known > 0).astype(np.int64)), pa.array(np.full(len(ids), n_all)), pa.array(base), pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            base = add(np.log10((uni + 0.1) / (n_all + 0.1 * (v_all + 1))))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=folds & NO_ID > 0), pa.array(folds == HELD_OUT), pa.array(lengths), pa.array(add(uni > 0).astype(np.int64)), pa.array(np.full(len(ids), n_all)), pa.array(base), pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return counted.mapInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
@@ -267,23 +288,23 @@ def brute_force(docs: list[tuple]) -> list[tuple]:
     from collections import Counter
 
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
-    rows = [(d, zlib.crc32(str(d).encode()) % 10, split(t)) for d, t in docs]
-    known, uni, pair = Counter(), Counter(), Counter()
-    for _, r, x in rows:
-        known.update(x if r else [])
-        if r > 1:
-            uni.update([*x, "<s>"])
-            pair.update(zip(["<s>", *x], x, strict=False))
-    n, v, n_core = sum(known.values()), len(known), sum(c for w, c in uni.items() if w != "<s>")
-    f = lambda a, b: (uni[a], pair[a, b] / uni[a] if uni[a] else 0.0, uni[b] / max(n_core, 1))
+    rows = [(d, 2 if d is None else zlib.crc32(str(d).encode()) % 10, split(t)) for d, t in docs]
     bits = lambda c: int(c).bit_length()
-    cells = [(bits(c), f2, f1, 1 / (v + 1), 1) for _, r, x in rows if r == 1 for c, f2, f1 in (f(a, b) for a, b in zip(["<s>", *x], x, strict=False))]
-    weights, u = learn(cells)
-    table = [0.0]
-    for k in range(1, 66):
-        table.append(weights.get(k, table[-1]))
-    out = []
+
+    def counted(least):
+        uni, pair = Counter(), Counter()
+        for _, r, x in rows:
+            if r >= least:
+                uni.update([*x, "<s>"])
+                pair.update(zip(["<s>", *x], x, strict=False))
+        n = sum(c for w, c in uni.items() if w != "<s>")
+        return uni, n, lambda a, b: (uni[a], pair[a, b] / uni[a] if uni[a] else 0.0, uni[b] / max(n, 1))
+
+    known, n, now = counted(1)
+    v, meanwhile = len(known) - ("<s>" in known), counted(2)[2]
+    cells = [(bits(c), f2, f1, 1 / (v + 1), 1) for _, r, x in rows if r == 1 for c, f2, f1 in (meanwhile(a, b) for a, b in zip(["<s>", *x], x, strict=False))]
+    table, out = weight_table(learn(cells)), []
     for d, r, x in rows:
-        s = sum(math.log10(table[bits(c)] * f2 + (1 - table[bits(c)]) * (u * f1 + (1 - u) / (v + 1))) for c, f2, f1 in (f(a, b) for a, b in zip(["<s>", *x], x, strict=False)))
+        s = sum(math.log10(table[bits(c)] @ (f2, f1, 1 / (v + 1))) for c, f2, f1 in (now(a, b) for a, b in zip(["<s>", *x], x, strict=False)))
         out.append((d, r == 0, len(x), sum(known[w] > 0 for w in x), n, sum(math.log10((known[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), s))
     return out

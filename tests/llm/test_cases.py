@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rillmark.llm import near_dedup, sst, util
+from rillmark.llm import lm_score, near_dedup, sst, util
 from rillmark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -134,3 +134,10 @@ def test_deduplicate_keeps_every_text(spark):
     assert sorted(k[:2] for k in kept if k[0] in (3, 5, 9)) == [(3, a), (5, b)]
     assert (7, None, "x") in kept and (None, a, "x") in kept and len(kept) == 4
     assert sorted(map(repr, near_dedup.deduplicate(d.repartition(5)).collect())) == sorted(map(repr, near_dedup.deduplicate(d).collect()))
+
+
+def test_lm_tells_colliding_words_apart(spark):
+    texts = [w for n in (1024, 2048) for w in thue_morse(n)] + [BASE, None]
+    d = docs_of(spark, texts)
+    got = sorted(tuple(r)[:5] for r in lm_score.score(d).collect())
+    assert got == sorted(r[:5] for r in lm_score.brute_force(list(enumerate(texts))))
