@@ -295,7 +295,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     # copies of a text collapse in two steps, so that no task has them all: by share, then by text
     shares = written(sketched.groupBy("digest", "_salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.any_value("elements").alias("elements")), "shares")
     texts = shares.groupBy("digest").agg(F.min("least").alias("least"), F.any_value("elements").alias("elements"))
-    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    # nodes are numbered by least id: a bucket's hub, its least node, is the earliest text, of which later ones are often copies
+    texts = written(texts.repartitionByRange("least", "digest").sortWithinPartitions("least", "digest").withColumn("node", F.monotonically_increasing_id()), "texts")
     further = lambda k: F.element_at("elements", (F.col("i") + k) % ELEMENTS + 1)
     rows = texts.select(F.col("node").alias("doc"), "elements", F.posexplode("elements").alias("i", "bucket")).select("bucket", "doc", further(1).alias("p1"), further(2).alias("p2"))
     hubs = rows.groupBy("bucket").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
