@@ -6,8 +6,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from rillmark.llm import lm_score, near_dedup, sst, util
+from rillmark.llm import decontamination, lm_score, near_dedup, sst, util
 from rillmark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -141,3 +142,18 @@ def test_lm_tells_colliding_words_apart(spark):
     d = docs_of(spark, texts)
     got = sorted(tuple(r)[:5] for r in lm_score.score(d).collect())
     assert got == sorted(r[:5] for r in lm_score.brute_force(list(enumerate(texts))))
+
+
+@pytest.mark.parametrize("kept", [32 << 20, 1])
+def test_decontamination_of_odd_items(spark, kept):
+    long_word = thue_morse(1024)
+    items = [(None, "one two three"), (None, "one two three"), (4, "one two three"), (4, "one two three"), (5, BASE), (6, BASE + " tail"), (7, long_word[0]), (None, ""), (8, None), (None, "two three four five")]
+    docs = [(0, "x one two three four five"), (1, BASE.upper()), (2, long_word[1]), (3, long_word[0]), (4, None), (None, BASE), (5, "one two"), (6, "zero " * 5000 + BASE)]
+    i = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(decontamination.brute_force(docs, items), key=repr)
+    assert sorted((tuple(r) for r in decontamination.report(d, i, block_bytes=300, keep_bytes=kept).collect()), key=repr) == want
+    clash = d.withColumn("contamination", F.lit(1)).withColumn("row", F.lit(2)).withColumn("searched", F.lit("x"))
+    kept_rows = decontamination.decontaminate(clash, i)
+    assert kept_rows.columns == clash.columns and sorted(r.doc_id for r in kept_rows.collect()) == [2, 4, 5]
+    assert decontamination.contamination(clash, i).columns == ["doc_id", "text", "row", "searched", "contamination"]
