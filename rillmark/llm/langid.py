@@ -3,12 +3,14 @@
 Subwords are the runs of 3 and of 4 bytes of the text after A-Z became a-z and every ASCII character that
 isn't a letter became a blank; a run hashes to one of ``BUCKETS`` embeddings of ``DIM`` numbers. A text's
 vector is the mean of its runs' embeddings; logits are linear in it. Both are trained by stochastic
-gradient descent in numpy on a bounded sample: about ``PER_LANGUAGE`` rows of each language, taken by a
-hash of the id, as bags of buckets. Part of the sample sets the softmax's temperature and the confidence
-below which a prediction is marked as rejected (so that those above are right in ``RIGHT`` of cases).
+gradient descent in numpy on a bounded sample: about ``PER_LANGUAGE`` rows of each language, fewer where there are more
+than ROWS / PER_LANGUAGE languages or where their bags (at most 8 bytes for each run, and for each bucket) would take
+more than ``SAMPLE_BYTES``. Rows are taken by a hash of the id. Part of the sample sets the softmax's temperature and
+the confidence below which a prediction is marked as rejected (so that those above are right in ``RIGHT`` of cases).
 
-For prediction the two linear maps are one table (buckets by languages), so a whole text is one gather
-and one running sum per run length; there is no shuffle, and the table is the only broadcast.
+For prediction with at most DIM languages the two linear maps are one table (buckets by languages); with more the
+embeddings are averaged first, so a model of any number of languages has about the embeddings' size. There is no shuffle,
+and the model is the only broadcast. No language is left out; the driver sees one row per language.
 
 Null text and text without a letter: `und`, score 0, rejected. Null languages aren't learned from;
 without any, everything is `und`. Ties go to the language that is first in code-point order. Repeated
@@ -29,7 +31,7 @@ from rillmark.llm.util import CHUNK, LOWER, pieces, raw
 
 BITS, DIM, LENGTHS = 15, 16, (3, 4)
 BUCKETS = 1 << BITS
-PER_LANGUAGE, MOST_LANGUAGES, EPOCHS, RIGHT = 1_000, 500, 6, 0.99
+PER_LANGUAGE, ROWS, SAMPLE_BYTES, EPOCHS, RIGHT = 1_000, 20_000, 128 << 20, 6, 0.99
 UNKNOWN = "und"
 _LETTERS = LOWER.copy()
 _LETTERS[:128][~np.array([chr(b).isalpha() for b in range(128)])] = 32
@@ -61,7 +63,8 @@ def runs(data: np.ndarray, offsets: np.ndarray):
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS by languages: each bucket's share of the logits
+    table: np.ndarray  # BUCKETS by DIM or, where ``out`` is None, by languages: each bucket's share of the logits
+    out: np.ndarray | None  # DIM by languages
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
@@ -70,7 +73,7 @@ class Model:
         """Language, probability, and whether the prediction is to be trusted."""
         data, offsets = raw(column)
         k, n_rows = len(self.languages), len(offsets) - 1
-        total, n = np.zeros((n_rows, k)), np.zeros(n_rows)
+        total, n = np.zeros((n_rows, self.table.shape[1])), np.zeros(n_rows)
         for row, lo, hi, bucket in runs(data, offsets):
             if not len(row):
                 continue
@@ -79,7 +82,8 @@ class Model:
             tail = cut[-1] == len(bucket)
             total[row] += np.add.reduceat(values, cut[:-1] if tail else cut, axis=0)[::2]
             n[row] += hi - lo
-        z = (total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
+        mean = total / np.maximum(n, 1)[:, None]
+        z = ((mean if self.out is None else mean @ self.out) + self.bias) / self.temperature
         p = np.exp(z - z.max(1, keepdims=True)) if k else np.zeros((n_rows, 1))
         p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
         best = p.argmax(1)
@@ -112,9 +116,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: l
             w -= rate * np.outer(x, g)
             bias -= 0.05 * rate * g
             e[buckets] -= rate * share[:, None] * back * 8
-    model = Model(languages, (e @ w).astype(np.float32), bias)
+    one = len(languages) <= DIM
+    model = Model(languages, (e @ w).astype(np.float32) if one else e, None if one else w, bias)
     if len(check):
-        z = np.array([bags[i][1] @ model.table[bags[i][0]] + bias if len(bags[i][0]) else bias for i in check], float)
+        z = np.array([bags[i][1] @ e[bags[i][0]] @ w + bias if len(bags[i][0]) else bias for i in check], float)
 
         def loss(t):
             s = z / t
@@ -134,12 +139,15 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: l
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """From all rows of ``docs`` with a text and a language, by a sample."""
     rows = docs.select(F.col("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    bag_bytes = F.least(F.octet_length("text").cast("long") * 16, F.lit(8 * BUCKETS).cast("long"))
+    sizes = {r.lang: (r.n, r.b) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(bag_bytes).alias("b")).collect()}
     if not sizes:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    unit = 1 << 30
-    part = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1, per_language / n) * unit))])[F.col("lang")]
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(unit)) < part).select("lang", "text")
+        return Model([], np.zeros((BUCKETS, 0), np.float32), None, np.zeros(0, np.float32))
+    unit, most = 1 << 30, min(per_language, max(1, ROWS // len(sizes)))
+    share = lambda n, b: int(min(1, most / n, SAMPLE_BYTES / len(sizes) / max(1, b)) * unit)
+    parts = docs.sparkSession.createDataFrame([(k, share(*x)) for k, x in sizes.items()], "lang string, _part long")
+    rows = rows.join(F.broadcast(parts), "lang")  # one row per language
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(unit)) < F.col("_part")).select("lang", "text")
 
     def bag(batches):
         for batch in pieces(batches):
@@ -152,8 +160,9 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_langua
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.astype("<u4").tobytes() for a, _ in out], pa.binary()), pa.array([(n / max(1, n.sum())).astype("<f4").tobytes() for _, n in out], pa.binary())], ["lang", "buckets", "shares"])
 
     languages = sorted(sizes)
-    got = sorted(picked.mapInArrow(bag, "lang string, buckets binary, shares binary").collect())  # a bag has at most BUCKETS entries
-    y = np.array([languages.index(r.lang) for r in got])
+    number = {k: i for i, k in enumerate(languages)}
+    got = sorted(picked.mapInArrow(bag, "lang string, buckets binary, shares binary").collect())  # about SAMPLE_BYTES
+    y = np.array([number[r.lang] for r in got], int)
     return train([(np.frombuffer(r.buckets, "<u4"), np.frombuffer(r.shares, "<f4")) for r in got], y, languages)
 
 

@@ -7,13 +7,16 @@ an exception phrase. A text's features are its matched weight, that weight by it
 its length; a logistic curve fitted to the labels turns them into a score.
 
 The lexicon, its weights and the curve are learned from at most about ``SAMPLE`` labelled rows per class
-(taken by a hash of the id; the classes' shares are restored by weights), with near copies thinned by the
-least hash of their five-word runs. The rows of the sample are the only thing that is broadcast; of the
-words, only those that pass the support and odds thresholds reach the driver, ``LEXICON`` at most.
+(taken by a hash of the id; the classes' shares are restored by weights), with near copies thinned to the row of the
+least id for each least hash of five-word runs. The ids of the sample are the only rows that are broadcast. Of the
+words, those that pass the support and odds thresholds reach the driver, all of them: since each is in ``SUPPORT`` of
+the toxic sample, there are at most 1 / SUPPORT times as many as a toxic row has different words on average.
 
 Scoring is one pass without a shuffle. Null and empty texts have no match and get the curve's value for
 that. Several labels of a row count as their greatest; null labels are not used. Without usable labels
-the built-in seed entries and curve are used. Repeated rows are scored alike; other columns stay.
+the built-in seed entries and curve are used. Entries that fold alike are one, with the greater weight. Ids that are
+learned from are whole numbers; repeated rows are scored alike. Other columns stay; one that is called like the
+result is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from pyspark.sql import types as T
 from rillmark.llm.near_dedup import kmers
 from rillmark.llm.util import PLAIN_WORDS, pieces, words, written
 
-SAMPLE, LEXICON = 10_000, 2_000
+SAMPLE = 10_000
 #: A lexicon word is in at least this share of the toxic sample, and this many times as frequent as in the rest.
 SUPPORT, ODDS = 0.01, 6.0
 
@@ -73,11 +78,11 @@ class Model:
         import ahocorasick
 
         if self._machine is None:
-            a = ahocorasick.Automaton()
+            a, entries = ahocorasick.Automaton(), {}
             for w, x in self.weights.items():
-                a.add_word(fold(w), (len(fold(w)), x))
-            for phrase in self.exceptions:
-                a.add_word(fold(phrase), (len(fold(phrase)), None))
+                entries[fold(w)] = max(x, entries.get(fold(w), x))
+            for w, x in (entries | {fold(phrase): None for phrase in self.exceptions}).items():
+                a.add_word(w, (len(w), x))
             a.make_automaton()
             self._machine = a
         return self._machine
@@ -95,7 +100,11 @@ class Model:
             if (a and folded[a - 1].isalnum()) or (b < len(folded) and folded[b].isalnum()):
                 continue
             (spared if x is None else found).append((a, b, x))
-        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b, _ in spared)] if spared else found
+        if not spared:
+            return found
+        spared.sort()
+        starts, reach = [a for a, _, _ in spared], list(accumulate((b for _, b, _ in spared), max))
+        return [m for m in found if not (k := bisect_right(starts, m[0])) or reach[k - 1] < m[1]]
 
     def score(self, total: np.ndarray, n_words: np.ndarray) -> np.ndarray:
         z = features(total, n_words) @ np.array(self.curve)
@@ -142,21 +151,21 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", exception
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["doc_id", "text", "y", "least"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
-    rows = written(texts.mapInArrow(opened, "doc_id long, text string, y int, least long").dropDuplicates(["least", "y"]), "toxicity-sample")
+    rows = written(texts.mapInArrow(opened, "doc_id long, text string, y int, least long").groupBy("least", "y").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", "r.text", "y"), "toxicity-sample")
     seen = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         return Model(dict(SEEDS), exceptions)
 
     def spoken(batches):
         for batch in pieces(batches):
-            out = [(w, y) for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for w in set(re.findall(r"[^\W\d_]{2,40}", fold(t)))]
+            out = [(w, y) for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for w in set(re.findall(r"[^\W\d_]{2,}", fold(t)))]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], ["word", "y"])
 
     counts = rows.mapInArrow(spoken, "word string, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     rate = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
     odds = rate("bad", seen[1]) / rate("good", seen[0])
     least = max(4, SUPPORT * seen[1])
-    kept = counts.filter((F.col("bad") >= least) & (odds >= ODDS)).select("word", F.log(odds).alias("weight")).orderBy(F.desc("weight"), "word").limit(LEXICON).collect()
+    kept = counts.filter((F.col("bad") >= least) & (odds >= ODDS)).select("word", F.log(odds).alias("weight")).orderBy("word").collect()
     model = Model({r.word: r.weight for r in kept}, exceptions)
 
     def measured(batches):
@@ -171,10 +180,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", exception
     return model
 
 
-def scored(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
-    """Adds ``toxicity``: the score, and the matches' spans and weights in the folded text (empty where spans is off)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
-    keep = docs.columns if keep is None else keep
+def _scored(docs: DataFrame, model: Model, keep: list[str], text: str, spans: bool) -> DataFrame:
+    """(row, toxicity): the kept columns as one, and score and matches."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size doesn't grow with the documents
     shape = "struct<score: double, matches: array<struct<start: int, end: int, weight: double>>>"
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("scored"))
 
@@ -185,8 +193,13 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
             out = pa.StructArray.from_arrays([pa.array(shared.value.score(total, n)), pa.array(spans_, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())])))], ["score", "matches"])
             yield pa.RecordBatch.from_arrays([batch.column(0), out], ["row", "toxicity"])
 
-    schema = T.StructType([src.schema["row"], T.StructField("toxicity", T._parse_datatype_string(shape))])
-    return src.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in keep], "toxicity")
+    return src.mapInArrow(run, T.StructType([src.schema["row"], T.StructField("toxicity", T._parse_datatype_string(shape))]))
+
+
+def scored(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
+    """Adds ``toxicity``: the score, and the matches' spans and weights in the folded text (empty where spans is off)."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "toxicity"]
+    return _scored(docs, model, keep, text, spans).select(*[F.col("row").getField(c).alias(c) for c in keep], "toxicity")
 
 
 def held_out(column: str = "doc_id") -> F.Column:
@@ -206,7 +219,8 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents whose score is below the threshold."""
-    return scored(docs, model, spans=False).filter(F.col("toxicity.score") < threshold).drop("toxicity")
+    kept = _scored(docs, model, docs.columns, "text", False).filter(F.col("toxicity.score") < threshold)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def brute_force(model: Model, text: str | None) -> float:
@@ -221,6 +235,8 @@ def brute_force(model: Model, text: str | None) -> float:
             at = folded.find(phrase, at + 1)
 
     spared = [p for e in model.exceptions for p in places(fold(e))]
-    total = math.fsum(x for w, x in model.weights.items() for a, b in places(fold(w)) if not any(c <= a and b <= d for c, d in spared))
+    entries = {f: max(x for w, x in model.weights.items() if fold(w) == f) for f in {fold(w) for w in model.weights}}
+    entries = {w: x for w, x in entries.items() if w not in {fold(e) for e in model.exceptions}}
+    total = math.fsum(x for w, x in entries.items() for a, b in places(w) if not any(c <= a and b <= d for c, d in spared))
     n = len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or ""))
     return float(model.score(np.array([total]), np.array([n]))[0])

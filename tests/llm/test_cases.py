@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.llm import decontamination, lm_score, near_dedup, sst, util
+from rillmark.llm import decontamination, langid, lm_score, near_dedup, sst, toxicity, util
 from rillmark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -157,3 +157,55 @@ def test_decontamination_of_odd_items(spark, kept):
     kept_rows = decontamination.decontaminate(clash, i)
     assert kept_rows.columns == clash.columns and sorted(r.doc_id for r in kept_rows.collect()) == [2, 4, 5]
     assert decontamination.contamination(clash, i).columns == ["doc_id", "text", "row", "searched", "contamination"]
+
+
+def test_toxicity_of_many_matches():
+    m = toxicity.Model(dict(toxicity.SEEDS) | {"l0ser": 9.0, "loser": 1.0})
+    text = "you idiot, trash can; loser! " * 33_000
+    start = time.time()
+    found = m.matches(toxicity.fold(text))
+    assert time.time() - start < 5 and len(found) == 66_000 and {x for _, _, x in found} == {3.0, 9.0}
+    short = text[:300] + "clown fish clown stupid question trash"
+    n = np.array([len(short.split())])
+    assert abs(toxicity.brute_force(m, short) - float(m.score(np.array([sum(x for _, _, x in m.matches(toxicity.fold(short)))]), util.words(pa.array([short])).counts())[0])) < 1e-9 and n
+
+
+def test_toxicity_clash_and_ties(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    one, two = (toxicity.model_for(x, labels) for x in (d, d.repartition(7).unionByName(d)))
+    assert one.weights == two.weights and np.allclose(one.curve, two.curve)
+    clash = d.limit(50).withColumn("toxicity", F.lit("x")).withColumn("row", F.lit(1)).withColumn("scored", F.lit(2))
+    assert toxicity.accepted(clash, one).columns == clash.columns
+    assert toxicity.scored(clash, one).columns == [*d.columns, "row", "scored", "toxicity"]
+    by_hand = {r.doc_id: toxicity.brute_force(one, r.text) for r in d.collect()}
+    assert all(abs(r.score - by_hand[r.doc_id]) < 1e-9 for r in toxicity.report(d, labels).collect())
+
+
+def test_language_of_many_languages(spark):
+    rng = np.random.default_rng(6)
+    spell = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(2))
+    rows = [(i, " ".join(spell(i % 600) + spell(int(x)) + spell(i % 600) for x in rng.integers(0, 20, 12)), f"l{i % 600:03d}") for i in range(3000)]
+    d = spark.createDataFrame([*rows, (None, "x", None)], "doc_id long, text string, lang string")
+    model = langid.learn(d)
+    assert len(model.languages) == 600 and model.table.shape == (langid.BUCKETS, langid.DIM) and model.out.shape == (langid.DIM, 600)
+    got = langid.predicted(d, model, keep=["doc_id", "lang"]).collect()
+    assert len(got) == 3001 and {r.lang_pred for r in got} <= set(model.languages)
+
+
+def test_language_by_hand(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(d)
+    for text in [r.text for r in d.limit(20).collect()]:
+        data = text.encode().translate(bytes(langid._LETTERS))
+        total, n = np.zeros(len(model.languages)), 0
+        for size in langid.LENGTHS:
+            for i in range(len(data) - size + 1):
+                code = int.from_bytes(data[i : i + size], "big")
+                code = (code * (0x9E3779B1 + 2 * size)) % 2**32 ^ code >> 15
+                total += model.table[(code * 0x85EBCA77) % 2**32 >> 32 - langid.BITS]
+                n += 1
+        z = (total / max(1, n) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score, _ = model.predict(pa.array([text]))
+        assert lang == [model.languages[int(p.argmax())]] and abs(score[0] - p.max()) < 1e-4
