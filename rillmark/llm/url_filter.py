@@ -4,17 +4,17 @@ Two variable-order Markov models, of URLs that a rule allows and of those that o
 from order to order: with ``n(c)`` the class's occurrences of the context c and c' the context without
 its first character,
 
-    p(x | c) = (n(c x) + STRENGTH * p(x | c')) / (n(c) + STRENGTH),   p(x | nothing) from n(x) + 1.
+    p(x | c) = (n(c x) + STRENGTH * p(x | c')) / (n(c) + STRENGTH),   p(x | nothing) = (n(x) + 1) / (n + 256).
 
-Contexts go up to ``ORDER - 1`` characters; the ``GRAMS`` most frequent grams are kept (a gram's suffixes
-are at least as frequent, so they are kept too), and at each character the longest kept gram counts. The
-score is the mean over characters of log p(allowed) - log p(blocked); a URL is blocked below a threshold
-that is set so that of the distinct allowed URLs kept out of training, ``LOST`` are lost.
+Contexts go up to ``ORDER - 1`` characters; all grams are kept, however rare. The score is the mean over characters of
+log p(allowed) - log p(blocked); a URL is blocked below a threshold that is set so that of the distinct allowed URLs
+kept out of training, ``LOST`` are lost.
 
-DataFrame operations only. The model has at most ``GRAMS`` rows, so it is broadcast: each distinct URL
-that no rule decides becomes a row per character, which looks up its grams of each order in generated
-code and is summed up again before the shuffle. Counting needs one row per character of the URLs that
-rules decide, pre-aggregated by distinct URL and by longest gram. A frequent URL is one row from then on.
+DataFrame operations only. A URL is cut once into windows of ORDER characters, by array places, so the work is in
+proportion to its length; a window's row carries a 128-bit digest of the URL, not its text. The model is applied to
+distinct windows, and each distinct URL that no rule decides sums up its windows' ratios (in whole units, so that
+reruns agree). The windows' table is broadcast while it has at most ``BROADCAST_ROWS`` rows; a larger one is joined, with
+frequent windows dealt over many tasks. So are the pages with their scores, where one URL may be a third of all.
 
 The rules see host and path; the model is trained on and scores all that stands behind ``://``, with query and
 fragment (the host in lower case), and where there is no ``://`` the whole string. Null URLs, and such without ``://``, have an empty host and path and fit no rule;
@@ -27,11 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.util import written
+from rillmark.llm.util import spread_join, written
 
 #: (verdict, host and path)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-ORDER, GRAMS, STRENGTH, LOST = 5, 40_000, 4.0, 0.05
+ORDER, STRENGTH, LOST = 5, 4.0, 0.05
+#: Of the table of windows; a row is two short strings and a number in memory, about 100 bytes.
+BROADCAST_ROWS = 400_000
+UNIT = 1e9
 _START = "\u0002"
 
 
@@ -63,64 +66,88 @@ def _text(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, whole).otherwise(url), F.lit(""))
 
 
+def windows(t: Column) -> Column:
+    """For each character the ORDER characters up to it; before the text stand start marks."""
+    chars = F.concat(F.array_repeat(F.lit(_START), ORDER - 1), F.split(t, ""))
+    # the inner function's argument is evaluated once, so a window costs ORDER array places
+    cut = F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - ORDER), lambda i: F.concat(*[F.get(c, i + k) for k in range(ORDER)])))
+    return F.when(t != "", F.get(cut, F.lit(0)))
+
+
 def grams(texts: DataFrame, allowed: Column) -> DataFrame:
     """(gram, order, good, bad): occurrences of all grams of 1 to ORDER characters, in each class."""
-    padded = F.concat(F.lit(_START * (ORDER - 1)), F.col("t"))
-    place = F.explode(F.sequence(F.lit(ORDER), F.length(padded)))
-    rows = texts.filter(F.length("t") > 0).groupBy("t").agg(F.count_if(allowed).alias("g"), F.count_if(~allowed).alias("b")).select("t", "g", "b", place.alias("i"))
-    longest = rows.groupBy(F.substring(F.concat(F.lit(_START * (ORDER - 1)), F.col("t")), F.col("i") - ORDER + 1, F.lit(ORDER)).alias("gram")).agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    rows = texts.groupBy("t").agg(F.count_if(allowed).alias("g"), F.count_if(~allowed).alias("b")).select("g", "b", F.explode(windows(F.col("t"))).alias("gram"))
+    longest = rows.groupBy("gram").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
     order = F.explode(F.sequence(F.lit(1), F.lit(ORDER)))
     return longest.select("g", "b", "gram", order.alias("order")).groupBy(F.expr("right(gram, order)").alias("gram"), "order").agg(F.sum("g").alias("good"), F.sum("b").alias("bad"))
 
 
-def model(texts: DataFrame, allowed: Column) -> DataFrame:
-    """(gram, order, ratio) of the kept grams; texts has ``t``."""
-    counted = written(grams(texts, allowed), "url-grams")
-    kept = counted.orderBy(F.desc(F.col("good") + F.col("bad")), "order", "gram").limit(GRAMS)
-    kept = written(kept, "url-kept")
-    # n(c): the sum over the characters after c, from all grams
-    contexts = counted.groupBy(F.expr("left(gram, order - 1)").alias("context"), (F.col("order")).alias("order")).agg(F.sum("good").alias("cg"), F.sum("bad").alias("cb"))
-    kept = written(kept.withColumn("context", F.expr("left(gram, order - 1)")).join(contexts, ["context", "order"]), "url-contexts")
-    level = kept.filter("order = 1").select("gram", ((F.col("good") + 1) / (F.col("cg") + 256)).alias("pg"), ((F.col("bad") + 1) / (F.col("cb") + 256)).alias("pb"), (F.col("good") + F.col("bad")).alias("n"))
-    levels = [level]
-    for k in range(2, ORDER + 1):
-        below = F.broadcast(level.select(F.col("gram").alias("suffix"), F.col("pg").alias("lg"), F.col("pb").alias("lb")))  # at most GRAMS rows
-        smooth = lambda n, c, p: (F.col(n) + STRENGTH * F.col(p)) / (F.col(c) + STRENGTH)
-        level = kept.filter(F.col("order") == k).withColumn("suffix", F.expr("right(gram, order - 1)")).join(below, "suffix").select("gram", smooth("good", "cg", "lg").alias("pg"), smooth("bad", "cb", "lb").alias("pb"), (F.col("good") + F.col("bad")).alias("n"))
-        levels.append(level)
-    every = levels[0].withColumn("order", F.lit(1))
-    for k, x in enumerate(levels[1:], 2):
-        every = every.unionByName(x.withColumn("order", F.lit(k)))
-    return written(every.select("gram", "order", (F.log("pg") - F.log("pb")).alias("ratio")), "url-model")
-
-
-def scored(texts: DataFrame, grams_: DataFrame) -> DataFrame:
-    """(t, score) of every distinct ``t``: the mean over its characters of the longest kept gram's ratio."""
-    padded = F.concat(F.lit(_START * (ORDER - 1)), F.col("t"))
-    rows = texts.select("t").distinct().select("t", padded.alias("p")).select("t", "p", F.explode_outer(F.when(F.length("t") > 0, F.sequence(F.lit(ORDER), F.length("p")))).alias("i"))
-    for k in range(ORDER, 0, -1):
-        table = grams_.filter(F.col("order") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
-        rows = rows.join(F.broadcast(table), F.substring("p", F.col("i") - k + 1, F.lit(k)) == F.col(f"g{k}"), "left").drop(f"g{k}")  # all orders: at most GRAMS rows
-    ratio = F.coalesce(*[F.col(f"r{k}") for k in range(ORDER, 0, -1)], F.lit(0.0))
-    return rows.groupBy("t").agg((F.sum(ratio) / F.greatest(F.length("t"), F.lit(1))).alias("score"))
+def cut(texts: DataFrame) -> DataFrame:
+    """(key, n, window): a row per character of each distinct ``t``; one with a null window for an empty text."""
+    one = texts.select("t").distinct().select(key(F.col("t")).alias("key"), F.length("t").alias("n"), windows(F.col("t")).alias("windows"))
+    return one.select("key", "n", F.explode_outer("windows").alias("window"))  # the key is computed before, not per window
+
+
+def key(t: Column) -> Column:
+    return F.unhex(F.md5(t))
+
+
+def ratios(wanted: DataFrame, counted: DataFrame) -> DataFrame:
+    """(window, units) for distinct windows: log p(allowed) - log p(blocked) of the last character after the others."""
+    contexts = counted.groupBy(F.expr("left(gram, order - 1)").alias("context"), "order").agg(F.sum("good").alias("cg"), F.sum("bad").alias("cb"))
+    contexts = written(contexts, "url-contexts")
+    whole = contexts.filter("order = 1").first()
+    out, pg, pb = wanted, F.lit(1 / 256), F.lit(1 / 256)
+    for k in range(1, ORDER + 1):
+        gram = counted.filter(F.col("order") == k).select(F.col("gram").alias("_gram"), F.col("good").alias(f"g{k}"), F.col("bad").alias(f"b{k}"))
+        out = out.join(gram, F.expr(f"right(window, {k})") == F.col("_gram"), "left").drop("_gram")
+        if k > 1:
+            context = contexts.filter(F.col("order") == k).select(F.col("context").alias("_context"), F.col("cg").alias(f"cg{k}"), F.col("cb").alias(f"cb{k}"))
+            out = out.join(context, F.expr(f"left(right(window, {k}), {k - 1})") == F.col("_context"), "left").drop("_context")
+        n = lambda c: F.coalesce(F.col(c), F.lit(0))
+        if k == 1:
+            out = out.withColumns({"pg": (n("g1") + 1) / (whole.cg + 256), "pb": (n("b1") + 1) / (whole.cb + 256)})
+        else:
+            out = out.withColumns({f"p{x}": (n(f"{x}{k}") + STRENGTH * F.col(f"p{x}")) / (n(f"c{x}{k}") + STRENGTH) for x in "gb"})
+    return out.select("window", F.round((F.log("pg") - F.log("pb")) * UNIT).cast("long").alias("units"))
+
+
+def scored(texts: DataFrame, counted: DataFrame) -> DataFrame:
+    """(key, score) of every distinct ``t``: the mean over its characters."""
+    rows = cut(texts)
+    table = written(ratios(rows.filter("window is not null").select("window").distinct(), counted), "url-windows")
+    if table.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(table), "window", "left")
+    else:
+        rows = spread_join(rows, table, ["window"], ["key"], "left")
+    return rows.groupBy("key", "n").agg(F.sum("units").alias("units")).select("key", (F.coalesce("units", F.lit(0)) / UNIT / F.greatest("n", F.lit(1))).alias("score"))
+
+
+def spare(t: Column) -> Column:
+    """A fifth of the texts, by their digest: these set the threshold."""
+    return F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % 5 == 0
 
 
 def judged(pages: DataFrame, rules=RULES, *, url: str = "url") -> DataFrame:
     """The pages with host, path, rule, score, threshold (both null where a rule decides) and verdict."""
-    out = ruled(pages, rules, url)
-    out = out.withColumn("t", F.when(F.col("ruling").isNull(), _text(F.col(url).cast("string"))))
-    known = out.filter("ruling is not null").select(_text(F.col(url).cast("string")).alias("t"), (F.col("ruling") == "allow").alias("allowed"))
-    spare = F.crc32(F.col("t").cast("binary")) % 5 == 0
+    out = ruled(pages, rules, url).withColumn("t", _text(F.col(url).cast("string")))
+    known = out.filter("ruling is not null").select("t", (F.col("ruling") == "allow").alias("allowed"))
+    open_ = out.filter("ruling is null")
     both = known.agg(F.count_if("allowed").alias("a"), F.count_if(~F.col("allowed")).alias("b")).first()
     if both.a and both.b:
-        table = model(known.filter(~spare), F.col("allowed"))
-        threshold = scored(known.filter(spare & F.col("allowed")), table).agg(F.percentile_approx("score", LOST, 10_000).alias("s")).first().s
-        scores = scored(out.filter("t is not null"), table)
+        counted = written(grams(known.filter(~spare(F.col("t"))), F.col("allowed")), "url-grams")
+    if both.a and both.b and not counted.isEmpty():
+        threshold = scored(known.filter(spare(F.col("t")) & F.col("allowed")), counted).agg(F.percentile_approx("score", LOST, 10_000).alias("s")).first().s
+        scores = written(scored(open_, counted), "url-scores")
+        differ = [f.name for f in pages.schema if "map<" not in f.dataType.simpleString()]
+        open_ = spread_join(open_.withColumn("key", key(F.col("t"))), scores, ["key"], differ).drop("key")
     else:
-        threshold, scores = 0.0, out.filter("t is not null").select("t").distinct().withColumn("score", F.lit(0.0))
-    out = out.join(scores, "t", "left").withColumn("threshold", F.when(F.col("ruling").isNull(), F.lit(float(threshold or 0.0))))
+        threshold, open_ = 0.0, open_.withColumn("score", F.lit(0.0))
+    open_ = open_.withColumn("threshold", F.lit(float(threshold or 0.0)))
+    out = open_.unionByName(out.filter("ruling is not null").withColumns({c: F.lit(None).cast("double") for c in ("score", "threshold")}))
     return out.withColumn("verdict", F.coalesce("ruling", F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block"))).drop("ruling", "t")
 
 
 def report(pages: DataFrame) -> DataFrame:
-    return judged(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score", "threshold")
+    """page_id, host, path, rule, verdict."""
+    return judged(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")

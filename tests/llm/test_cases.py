@@ -1,14 +1,16 @@
 """Cases that went wrong once, or would: colliding words, hot keys, lost rows, long texts, clashing names, many partitions."""
 
+import hashlib
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.llm import decontamination, langid, lm_score, near_dedup, sst, toxicity, util
+from rillmark.llm import decontamination, langid, lm_score, near_dedup, pii, sst, toxicity, url_filter, util
 from rillmark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -209,3 +211,75 @@ def test_language_by_hand(spark):
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         lang, score, _ = model.predict(pa.array([text]))
         assert lang == [model.languages[int(p.argmax())]] and abs(score[0] - p.max()) < 1e-4
+
+
+def test_url_of_a_megabyte(spark):
+    good = [(i, f"http://news{i}.org/story/{i}") for i in range(30)]
+    bad = [(100 + i, f"http://x{i}.com/de/casino-{i}-xxx") for i in range(30)]
+    long = [(200, "http://z.net/" + "casino-xxx/" * 100_000), (201, "http://z.net/" + "news/story/" * 100_000)]
+    start = time.time()
+    got = {r.page_id: r.score for r in url_filter.judged(spark.createDataFrame(good + bad + long, "page_id long, url string")).select("page_id", "score").collect()}
+    assert time.time() - start < 60 and got[200] < 0 < got[201]
+
+
+def test_url_scores_by_hand(spark, monkeypatch):
+    rows = [(i, f"http://news{i}.org/story/{i}") for i in range(30)] + [(100 + i, f"http://x{i}.com/de/casino-{i}-xxx") for i in range(30)] + [(300, "http://é中.net/story"), (301, "x"), (302, ""), (303, None), (304, "http://x.net/casino\U0001f600")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    by_broadcast = sorted((tuple(r) for r in url_filter.judged(pages).collect()), key=repr)
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    assert sorted((tuple(r) for r in url_filter.judged(pages).collect()), key=repr) == by_broadcast
+    texts = {u: u.removeprefix("http://") for _, u in rows if u}
+    known = [(texts[u], i < 100) for i, u in rows if i < 200]
+    spare = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 5 == 0
+    n, c = Counter(), Counter()
+    for t, ok in known:
+        if not spare(t):
+            p = "\2" * 4 + t
+            for i in range(4, len(p)):
+                for k in range(5):
+                    n[ok, p[i - k : i + 1]] += 1
+                    c[ok, k, p[i - k : i]] += 1
+
+    def score(t):
+        p, total = "\2" * 4 + t, 0.0
+        for i in range(4, len(p)):
+            q = {}
+            for ok in (True, False):
+                q[ok] = (n[ok, p[i]] + 1) / (c[ok, 0, ""] + 256)
+                for k in range(1, 5):
+                    q[ok] = (n[ok, p[i - k : i + 1]] + 4 * q[ok]) / (c[ok, k, p[i - k : i]] + 4)
+            total += np.log(q[True]) - np.log(q[False])
+        return total / max(1, len(t))
+
+    held = sorted(score(t) for t, ok in set(known) if ok and spare(t))
+    threshold = held[int(np.ceil(0.05 * len(held))) - 1]
+    for r in url_filter.judged(pages).filter("rule is null").collect():
+        want = score(texts.get(r.url, r.url or ""))
+        assert abs(r.score - want) < 1e-6 and abs(r.threshold - threshold) < 1e-6 and r.verdict == ("allow" if want >= threshold - 1e-9 else "block")
+
+
+def test_pii_of_very_many_matches(spark):
+    texts = [" ".join(f"user{i}@mail{i % 7}.example.org" for i in range(100_000)), "call +1 202 555 0100 or 10.0.0.1, x" * 3000]
+    start = time.time()
+    rows = {r.doc_id: r for r in pii.spans(docs_of(spark, texts)).collect()}
+    assert time.time() - start < 120 and len(rows[0].base) == 100_000
+    assert {i: [tuple(b) for b in r.base] for i, r in rows.items()} == {i: pii.brute_force(t) for i, t in enumerate(texts)}
+
+
+def test_pii_contexts(spark):
+    word = "w" * 500
+    rows = [(i, t) for i, t in enumerate([f"ring {word} 5", "ring me 5", "a1 b 5", "1 b 5", "ring, me: 5", "5", "é Übung 5 x 6"])]
+    got = pii.extracted(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [list(r.candidates[-1].contexts) for r in sorted(got, key=lambda r: r.doc_id)] == [[f"1 {word}", "2 ring"], ["1 me", "2 ring"], ["1 b", None], ["1 b", None], ["1 me", "2 ring"], [None, None], ["1 x", None]]
+
+
+def test_pii_masked(spark):
+    texts = ["mail a.b@c.de now", "é10.0.0.1\U0001f600 a@b.c", None, "", "none"]
+    d = docs_of(spark, texts).withColumn("base", F.lit(1)).withColumn("spans", F.lit("s"))
+    got = {r.doc_id: r.text for r in pii.masked(d).collect()}
+    assert pii.masked(d).columns == d.columns
+    for i, t in enumerate(texts):
+        chars = list(t or "")
+        for _, a, b in pii.brute_force(t):
+            chars[a:b] = "*" * (b - a)
+        assert got[i] == (None if t is None else "".join(chars))

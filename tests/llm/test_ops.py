@@ -72,7 +72,7 @@ def test_url_model_sees_whole_urls(spark):
     good = [(i, f"http://x{i}.org/page?u=story-{i}") for i in range(60)]
     bad = [(100 + i, f"http://x{i}.com/de/page?u=casino-{i}-xxx") for i in range(60)]
     new = [(300, "HTTP://X.net/page?u=story-7"), (301, "http://x.net/page?u=casino-7-xxx"), (302, "casino-7-xxx"), (303, None), (304, "http://x.net/page#casino-7-xxx")]
-    got = {r.page_id: r for r in url_filter.report(spark.createDataFrame(good + bad + new, "page_id long, url string")).collect()}
+    got = {r.page_id: r for r in url_filter.judged(spark.createDataFrame(good + bad + new, "page_id long, url string")).collect()}
     assert got[300].score > 0 > max(got[301].score, got[302].score, got[304].score) and got[303].score == 0
     assert got[301].path == "/page" and got[302].host == ""
     same = spark.createDataFrame([("HTTP://A.Net/P?Q#F",), ("x/Y",)], "url string")
