@@ -116,17 +116,32 @@ def test_mix(docs, odd, spark):
     assert all(abs(x[0] - x[2]) <= 0.01 * x[2] + 20 and x[1] == x[3] for x in by.values())
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.taken(docs.repartition(5)).collect()))
     assert len(mixing.taken(odd).collect()) == 8
-    s = mixing.schedule(spark, ["a", "b"], [3.0, 1.0], [7, 5], 100, 3).collect()
-    assert len(s) == 100 and abs(sum(r.source == "a" for r in s) - 75) <= 2
-
-
-def test_mix_is_the_schedule_joined_to_blocks(spark):
-    names, sizes = ["a", "b", "c"], [30, 50, 7]
-    target = mixing.targets(sizes, [5, 2, 1])
-    slots = mixing.schedule(spark, names, target, sizes, int(np.ceil(sum(target))), 3).collect()
-    for name, size, p in zip(names, sizes, mixing.plan(sizes, target), strict=True):
-        times = np.bincount([r.block for r in slots if r.source == name and r.rank < 2 * size], minlength=size)
-        assert times.tolist() == [p["full"] + (k < p["rest"]) for k in range(size)]
+    kept = mixing.mixed(docs)
+    assert kept.columns == docs.columns and abs(kept.count() / docs.count() - 1.5) < 0.2
+
+
+def test_mix_is_brute_force(docs, odd):
+    for d in (docs, odd, odd.unionByName(odd)):
+        want = mixing.brute_force([(r.doc_id, r.text, r.source) for r in d.collect()])
+        got = [tuple(r) for r in mixing.taken(d).drop("slot").collect()]
+        by_row = lambda rows: sorted(rows, key=repr)
+        assert by_row(g[:4] for g in got) == by_row(w[:4] for w in want)
+        assert by_row((g[0], g[1], g[2], g[5]) for g in got) == by_row((w[0], w[1], w[2], w[5]) for w in want)
+        assert np.allclose(sorted(g[4] for g in got), sorted(w[4] for w in want))
+
+
+def test_mix_schedule(spark, monkeypatch):
+    blocks, ends, slots = mixing.plan([900_000, 70_000, 0, 300], mixing.targets([900_000, 70_000, 0, 300], [5, 2, 1, 5]))
+    rows = sorted(tuple(r) for r in mixing.schedule(spark, blocks, ends, slots).collect())
+    monkeypatch.setattr(mixing, "RANGE", 1000)
+    ranks, at = [0] * 4, 0
+    for slot, source, rank, block in rows:
+        while at <= slot:
+            s = next(i for i, e in enumerate(ends) if at * mixing.GOLDEN % 2**64 < e)
+            ranks[s] += 1
+            at += 1
+        assert (s, ranks[s] - 1, (ranks[s] - 1) % blocks[s]) == (source, rank, block)
+    assert sorted(tuple(r) for r in mixing.schedule(spark, blocks, ends, slots).collect()) == rows
 
 
 def test_mix_of_small_sources_in_a_large_input():
@@ -134,8 +149,10 @@ def test_mix_of_small_sources_in_a_large_input():
     assert [mixing.below(999, c) for c in cuts] == [int((mixing.points(999) < np.uint64(c)).sum()) for c in cuts]
     sizes = [50, 200, 500, 2_000, 5_000, 4 * 10**9, 10**9]
     target = mixing.targets(sizes, [1.0] * len(sizes))
-    for size, t, p in zip(sizes, target, mixing.plan(sizes, target), strict=True):
-        assert abs(p["full"] * size + p["rest"] - t) <= 10
+    blocks, ends, slots = mixing.plan(sizes, target)
+    marks = [0, *(mixing.below(slots, e) if e < 2**64 else slots for e in ends)]
+    for size, t, n, lo, hi in zip(sizes, target, blocks, marks[:-1], marks[1:], strict=True):
+        assert abs(min(hi - lo, 2 * n) * size / n - t) <= max(8, 0.005 * t)
 
 
 @given(st.binary(max_size=900))
