@@ -150,8 +150,8 @@ def taken(docs: DataFrame, *, keep: list[str] = (), weights: tuple = WEIGHTS) ->
     touched = placed.filter("size > 0").select("_row", "nth", "start", "size", "source_size", "blocks", F.explode(F.expr(f"sequence({first}, {last})")).alias("block"))
     words = F.least(F.col("start") + F.col("size"), edge("(block + 1)")) - F.greatest(F.col("start"), edge("block"))
     times = schedule(spark, blocks, ends, slots).groupBy(F.col("source").alias("nth"), "block").agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
-    got = touched.withColumn("words", words).join(times, ["nth", "block"]).groupBy("_row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("slot").alias("slot"))
-    return placed.join(got, "_row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot", *keep)
+    got = touched.withColumn("words", words).join(times.hint("merge"), ["nth", "block"]).groupBy("_row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("slot").alias("slot"))
+    return placed.join(got.hint("merge"), "_row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot", *keep)
 
 
 def mixed(docs: DataFrame, *, weights: tuple = WEIGHTS) -> DataFrame:

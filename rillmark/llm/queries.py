@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillmark.llm import decontamination, langid, lm_score, media, mixing, near_dedup, pii, sst, toxicity, url_filter
+from rillmark.llm import decontamination, langid, lm_score, media, mixing, near_dedup, pii, sql, sst, toxicity, url_filter
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,7 +30,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
+    return mixing.taken(_table(spark, sf_dir, "documents")).drop("source", "slot")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """Where DuckDB can say the same. The others are held against brute force in tests/llm."""
-    return {}
+    return {"op1_url_filter": sql.URL_FILTER, "op2_decontamination": sql.DECONTAMINATION, "op4_mixing": sql.MIXING}
