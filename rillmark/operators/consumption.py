@@ -15,17 +15,21 @@ def start_offsets(log: DataFrame, at_ms: int, offset: int) -> DataFrame:
 
 
 def committed(log: DataFrame, matching: Column, acked: Column, start: int = 0) -> DataFrame:
-    """One past the last offset of the unbroken run of acknowledged matching rows; the start where there is none."""
-    rows = log.filter(matching & (F.col("off") >= start)).withColumn("a", acked)
-    first = rows.groupBy(*_KEY).agg(F.min(F.when(~F.col("a"), F.col("off"))).alias("gap"))
-    run = rows.join(first, [*_KEY]).filter(F.col("gap").isNull() | (F.col("off") < F.col("gap")))
-    return first.join(run.groupBy(*_KEY).agg((F.max("off") + 1).alias("c")), [*_KEY], "left").select(*_KEY, F.coalesce("c", F.lit(start).cast("long")).alias("committed"))
+    """One past the last offset of the unbroken run of acknowledged matching rows; the start where there is none. One shuffle."""
+    rows = log.filter(matching & (F.col("off") >= start)).withColumn("_a", acked)
+    gap = F.min(F.when(~F.col("_a"), F.col("off"))).over(Window.partitionBy(*_KEY))
+    run = F.when(F.col("_gap").isNull() | (F.col("off") < F.col("_gap")), F.col("off"))
+    return rows.withColumn("_gap", gap).groupBy(*_KEY).agg(F.coalesce(F.max(run) + 1, F.lit(start).cast("long")).alias("committed"))
 
 
 def fetched(candidates: DataFrame, max_messages: int, max_bytes: int, size: str = "bytes") -> DataFrame:
-    """Per consumer in (stream, part, off) order, up to the first row that breaks a limit; nothing after it."""
-    w = Window.partitionBy("consumer").orderBy(*_KEY, "off").rowsBetween(Window.unboundedPreceding, 0)
-    return candidates.withColumn("_n", F.count("*").over(w)).withColumn("_b", F.sum(size).over(w)).filter((F.col("_n") <= max_messages) & (F.col("_b") <= max_bytes)).drop("_n", "_b")
+    """Per consumer in (stream, part, off) order, up to the first row that breaks a limit; nothing after it.
+
+    The count's limit comes first, so each task keeps ``max_messages`` rows of a consumer before the shuffle.
+    """
+    w = Window.partitionBy("consumer").orderBy(*_KEY, "off")
+    first = candidates.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_messages)
+    return first.withColumn("_b", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_b") <= max_bytes).drop("_n", "_b")
 
 
 def gap_applied(cursors: DataFrame, floors: DataFrame) -> DataFrame:
@@ -43,19 +47,23 @@ def assigned(partitions: int, members: DataFrame, how: str) -> DataFrame:
     return p.select("grp", "part", F.get("m", at).alias("member"))
 
 
-def sticky(rows: list[tuple[int, str | None]], members: list[str]) -> list[tuple[int, str]]:
-    """Keeps an owner below the quota, else the member with the least partitions, then by name. rows: (partition, owner)."""
-    members, quota = sorted(members), -(-len(rows) // max(1, len(members)))
-    load, out = dict.fromkeys(members, 0), {}
-    for part, owner in sorted(rows):
-        if owner in load and load[owner] < quota:
-            out[part] = owner
-            load[owner] += 1
-    for part, _ in sorted(rows):
-        if part not in out and members:
-            out[part] = min(members, key=lambda m: (load[m], m))
-            load[out[part]] += 1
-    return sorted(out.items())
+def fenced_commits(commits: DataFrame, owners: DataFrame, generation: int) -> DataFrame:
+    """commits (seq, part, generation, member, offset) with ``outcome``: a commit counts in the present generation, from the
+    partition's owner, and above what was committed before; nothing is committed at first, so 0 never counts."""
+    rows = commits.join(owners, "part", "left").withColumn("_mine", F.coalesce((F.col("generation") == generation) & (F.col("member") == F.col("owner")), F.lit(False)))
+    before = F.max(F.when(F.col("_mine"), F.col("offset"))).over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", F.coalesce(before, F.lit(0)))
+    outcome = F.when(F.col("generation") != generation, "stale generation").when(~F.col("_mine"), "not the owner").when(F.col("offset") > F.col("_before"), "committed").otherwise("unchanged")
+    return rows.withColumn("outcome", outcome).drop("_mine", "_before", "owner")
+
+
+def expanded(requests: DataFrame, most: int, start: int = 1) -> DataFrame:
+    """(grp, seq, outcome, partitions) of requests for partition counts, which only grow, up to ``most``."""
+    w = Window.partitionBy("grp").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.max(F.when(F.col("asked") <= most, F.col("asked"))).over(w), F.lit(start))
+    rows = requests.withColumn("_before", before)
+    outcome = F.when(F.col("asked") < F.col("_before"), "decrease").when(F.col("asked") > most, "quota").when(F.col("asked") == F.col("_before"), "unchanged").otherwise("expanded")
+    return rows.select("grp", "seq", outcome.alias("outcome"), F.when(F.col("asked").between(F.col("_before"), F.lit(most)), F.col("asked")).otherwise(F.col("_before")).alias("partitions"))
 
 
 def lag(log: DataFrame, cursors: DataFrame) -> DataFrame:

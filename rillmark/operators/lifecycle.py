@@ -25,19 +25,42 @@ def retained_by_bytes(log: DataFrame, max_bytes: int, size: str = "bytes") -> Da
     return log.withColumn("_sum", F.sum(size).over(_partition().orderBy(F.desc("off")).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= max_bytes).drop("_sum")
 
 
-def retention_status(log: DataFrame, kept: DataFrame, size: str = "bytes") -> DataFrame:
-    """Per partition: earliest, next offset, retained and deleted messages and bytes."""
-    whole = log.groupBy("stream", "part").agg((F.max("off") + 1).alias("next_offset"), F.count("*").alias("n"), F.sum(size).alias("b"))
-    left = kept.groupBy("stream", "part").agg(F.min("off").alias("first"), F.count("*").alias("kn"), F.sum(size).alias("kb"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return whole.join(left, ["stream", "part"], "left").select("stream", "part", F.coalesce("first", "next_offset").alias("earliest"), "next_offset", zero("kn").alias("retained_messages"), zero("kb").alias("retained_bytes"), (F.col("n") - zero("kn")).alias("deleted_messages"), (F.col("b") - zero("kb")).alias("deleted_bytes"))
+def retention_status(log: DataFrame, now_ms: int, max_age_ms: int, max_bytes: int, size: str = "bytes") -> DataFrame:
+    """Per partition after age, then bytes: earliest, next offset, retained and deleted messages and bytes. One pass."""
+    suffix = F.sum(size).over(_partition().orderBy(F.desc("off")).rowsBetween(Window.unboundedPreceding, 0))
+    kept = (F.col("off") >= F.col("floor")) & (F.col("_sum") <= max_bytes)
+    rows = age_floor(log.withColumn("_sum", suffix), now_ms, max_age_ms).withColumn("_k", kept)
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("_k"), c)), F.lit(0))
+    per = rows.groupBy("stream", "part").agg((F.max("off") + 1).alias("next_offset"), F.min(F.when(F.col("_k"), F.col("off"))).alias("first"), F.count("*").alias("n"), F.sum(size).alias("b"), of(F.lit(1)).alias("retained_messages"), of(F.col(size)).alias("retained_bytes"))
+    return per.select("stream", "part", F.coalesce("first", "next_offset").alias("earliest"), "next_offset", "retained_messages", "retained_bytes", (F.col("n") - F.col("retained_messages")).alias("deleted_messages"), (F.col("b") - F.col("retained_bytes")).alias("deleted_bytes"))
 
 
 def compacted(log: DataFrame) -> DataFrame:
-    """The last row of each key in its partition, and every row without a key."""
-    last = Window.partitionBy("stream", "part", "key").orderBy(F.desc("off"), F.desc("seq"))
-    keyed = log.filter("key is not null").withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
-    return keyed.unionByName(log.filter("key is null"))
+    """The last row of each key in its partition, and every row without a key (each is a group of its own in the one window)."""
+    last = Window.partitionBy("stream", "part", "key", F.when(F.col("key").isNull(), F.col("off"))).orderBy(F.desc("off"), F.desc("seq"))
+    return log.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
+
+
+def superseded(log: DataFrame) -> DataFrame:
+    """The rows that a later one of their key replaces; each append replaces one at most."""
+    later = F.lead("off").over(Window.partitionBy("stream", "part", "key").orderBy("off", "seq"))
+    return log.filter("key is not null").withColumn("_later", later).filter("_later is not null").drop("_later")
+
+
+def applied(updates: DataFrame, arrival: str) -> DataFrame:
+    """The updates that a view takes as they arrive: none whose offset is behind its partition's; an equal one is taken again."""
+    top = F.max("off").over(_partition().orderBy(arrival, "off").rowsBetween(Window.unboundedPreceding, -1))
+    return updates.withColumn("_top", top).filter("_top is null or off >= _top").drop("_top")
+
+
+def restored(updates: DataFrame, every: int) -> DataFrame:
+    """(key, value, off): the state at the last checkpoint, one each ``every`` offsets, with the deltas after it; a null value deletes."""
+    at = updates.agg((F.floor(F.max("off") / every) * every).alias("_at"))
+    rows = updates.crossJoin(F.broadcast(at))  # one row
+    last = lambda df: df.groupBy("key").agg(F.max_by(F.struct("value", "off"), "off").alias("u"))
+    snapshot, deltas = last(rows.filter("off <= _at")), last(rows.filter("off > _at"))
+    both = snapshot.withColumnRenamed("u", "s").join(deltas, "key", "full").select("key", F.coalesce("u", "s").alias("u"))
+    return both.select("key", "u.value", "u.off").filter("value is not null")
 
 
 def view(updates: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
@@ -48,8 +71,8 @@ def view(updates: DataFrame, key: str = "key", value: str = "value") -> DataFram
 
 def view_changes(updates: DataFrame, since: int, window: int) -> DataFrame:
     """The changes after ``since`` of the last ``window`` ones; fewer than asked for means the cursor has expired."""
-    top = updates.agg(F.max("sequence")).first()[0] or 0
-    return updates.filter((F.col("sequence") > since) & (F.col("sequence") > top - window))
+    top = F.broadcast(updates.agg(F.max("sequence").alias("_top")))  # one row
+    return updates.crossJoin(top).filter((F.col("sequence") > since) & (F.col("sequence") > F.col("_top") - window)).drop("_top")
 
 
 def offset_gaps(log: DataFrame) -> DataFrame:

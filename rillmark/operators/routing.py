@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,22 +17,26 @@ def fan_out(messages: DataFrame, patterns: list[tuple[str, str]], subject: str =
     Patterns of one shape (the places of their literals, the number of segments, tail or none) become one
     equi-join on the literal segments, so the work grows with messages times shapes, not times patterns.
     """
-    spark, shapes = messages.sparkSession, {}
+    spark, shapes, rows = messages.sparkSession, {}, []
     for owner, p in patterns:
         parts = p.split("/")
         tail = parts[-1] == "**"
         parts = parts[:-1] if tail else parts
         where = tuple(i for i, x in enumerate(parts) if x != "*")
-        shapes.setdefault((len(parts), tail, where), []).append((owner, "/".join(parts[i] for i in where)))
-    out = []
-    for (n, tail, where), rows in sorted(shapes.items()):
-        parts = F.split(subject, "/")
+        shape = shapes.setdefault((len(parts), tail, where), len(shapes))
+        rows.append((owner, shape, "/".join(parts[i] for i in where)))
+    if not rows:
+        return messages.limit(0).withColumn("subscriber", F.lit(""))
+    parts, keys = F.split(subject, "/"), []
+    for (n, tail, where), shape in shapes.items():
         fits = F.size(parts) >= n if tail else F.size(parts) == n
         key = F.concat_ws("/", *[F.get(parts, F.lit(i)) for i in where]) if where else F.lit("")
-        side = spark.createDataFrame(rows, "subscriber string, _key string").distinct()
-        side = F.broadcast(side) if len(rows) <= BROADCAST_PATTERNS else side
-        out.append(messages.filter(fits).withColumn("_key", key).join(side, "_key").drop("_key"))
-    return reduce(DataFrame.unionByName, out) if out else messages.limit(0).withColumn("subscriber", F.lit(""))
+        keys.append(F.when(fits, F.struct(F.lit(shape).alias("_shape"), key.alias("_key"))))
+    side = spark.createDataFrame(rows, "subscriber string, _shape int, _key string").distinct()
+    side = F.broadcast(side) if len(rows) <= BROADCAST_PATTERNS else side
+    # one reading of the messages: a row per shape that fits, then one join
+    rows = messages.withColumn("_k", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull()))).withColumns({"_shape": F.col("_k._shape"), "_key": F.col("_k._key")})
+    return rows.join(side, ["_shape", "_key"]).drop("_shape", "_key", "_k")
 
 
 def interested(messages: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:

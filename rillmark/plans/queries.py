@@ -133,7 +133,7 @@ ALL = {
     "win_offset_gaps": (lambda s, d: lifecycle.offset_gaps(lifecycle.compacted(_log(s, d))).select("stream", "part", "off", "before"), _LOG + ", c AS (SELECT * FROM log WHERE key IS NULL UNION ALL SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY stream, part, key ORDER BY off DESC) AS r FROM log WHERE key IS NOT NULL) WHERE r = 1), g AS (SELECT stream, part, off, lag(off) OVER (PARTITION BY stream, part ORDER BY off) AS before FROM c) SELECT * FROM g WHERE off <> before + 1"),
     "ret_age_floor": (lambda s, d: lifecycle.age_floor(_log(s, d), NOW, AGE).select("stream", "part", "floor").distinct(), _LOG + f" SELECT stream, part, coalesce(min(CASE WHEN {NOW} - ts_ms <= {AGE} THEN off END), max(off) + 1) AS floor FROM log GROUP BY 1, 2"),
     "ret_bytes_floor": (lambda s, d: lifecycle.retained_by_bytes(_log(s, d), BYTES).groupBy("stream", "part").agg(F.min("off").alias("floor"), F.count("*").alias("n")), _LOG + f", r AS (SELECT *, sum(bytes) OVER (PARTITION BY stream, part ORDER BY off DESC ROWS UNBOUNDED PRECEDING) AS b FROM log) SELECT stream, part, min(off) AS floor, count(*) AS n FROM r WHERE b <= {BYTES} GROUP BY 1, 2"),
-    "ret_combined_status": (lambda s, d: lifecycle.retention_status(log := _log(s, d), lifecycle.retained_by_bytes(lifecycle.retained_by_age(log, NOW, AGE), BYTES)), _LOG + f""", f AS (SELECT stream, part, coalesce(min(CASE WHEN {NOW} - ts_ms <= {AGE} THEN off END), max(off) + 1) AS fl FROM log GROUP BY 1, 2),
+    "ret_combined_status": (lambda s, d: lifecycle.retention_status(_log(s, d), NOW, AGE, BYTES), _LOG + f""", f AS (SELECT stream, part, coalesce(min(CASE WHEN {NOW} - ts_ms <= {AGE} THEN off END), max(off) + 1) AS fl FROM log GROUP BY 1, 2),
  a AS (SELECT log.* FROM log JOIN f USING (stream, part) WHERE off >= fl), r AS (SELECT *, sum(bytes) OVER (PARTITION BY stream, part ORDER BY off DESC ROWS UNBOUNDED PRECEDING) AS b FROM a),
  k AS (SELECT stream, part, min(off) AS first, count(*) AS kn, sum(bytes) AS kb FROM r WHERE b <= {BYTES} GROUP BY 1, 2), w AS (SELECT stream, part, max(off) + 1 AS next_offset, count(*) AS n, sum(bytes) AS b FROM log GROUP BY 1, 2)
  SELECT stream, part, coalesce(first, next_offset) AS earliest, next_offset, coalesce(kn, 0) AS retained_messages, CAST(coalesce(kb, 0) AS BIGINT) AS retained_bytes, n - coalesce(kn, 0) AS deleted_messages, CAST(b - coalesce(kb, 0) AS BIGINT) AS deleted_bytes FROM w LEFT JOIN k USING (stream, part)"""),
