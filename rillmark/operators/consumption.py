@@ -38,6 +38,12 @@ def gap_applied(cursors: DataFrame, floors: DataFrame) -> DataFrame:
     return cursors.join(floors, [*_KEY]).select("consumer", *_KEY, F.greatest("committed", "floor").alias("committed"), F.when(low, 1).otherwise(0).cast("long").alias("gaps"))
 
 
+def floors_applied(cursors: DataFrame, floors: DataFrame) -> DataFrame:
+    """(stream, part, committed, gaps, acked): cursors (committed, acked offsets) after retention, with how many acknowledgements are left."""
+    moved = cursors.join(floors, [*_KEY]).withColumn("_to", F.greatest("committed", "floor"))
+    return moved.select(*_KEY, F.col("_to").alias("committed"), F.when(F.col("committed") < F.col("floor"), 1).otherwise(0).cast("long").alias("gaps"), F.size(F.filter("acked", lambda x: x >= F.col("_to"))).cast("long").alias("acked"))
+
+
 def assigned(partitions: int, members: DataFrame, how: str) -> DataFrame:
     """(grp, part, member) by range or round robin over the members in name order."""
     ranked = members.groupBy("grp").agg(F.array_sort(F.collect_set("member")).alias("m"))

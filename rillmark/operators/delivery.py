@@ -51,3 +51,8 @@ def extended(leases: DataFrame, now_ms: int, extension_ms: Column, most_ms: int)
 def restarted(leases: DataFrame) -> DataFrame:
     """After a restart what was in flight is pending with one more attempt."""
     return leases.select("consumer", "seq", (F.col("attempt") + 1).alias("attempt"))
+
+
+def dead_letters(dead: DataFrame, purged_before_ms: int) -> DataFrame:
+    """What a purge of older ones leaves."""
+    return dead.filter(F.col("deadline_ms") >= purged_before_ms)

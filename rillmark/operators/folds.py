@@ -74,23 +74,32 @@ def shipped(chunks: DataFrame, fencing_token: int) -> DataFrame:
 
 
 def group_generations(events: DataFrame, timeout_ms: int) -> DataFrame:
-    """(group_id, seq, generation, members) after each join, leave or heartbeat; silent members go first."""
+    """(group_id, seq, outcome, generation, members) after each join, leave or heartbeat; silent members go first.
+
+    A leave or heartbeat with another ``generation`` than the group's is stale, one of no member unknown; neither changes
+    anything. A null generation stands for the present one. A join always makes a new generation, also of who is there.
+    """
 
     def step(state: dict, row: dict) -> dict:
-        seen = state.setdefault("seen", {})
+        seen, kind, outcome = state.setdefault("seen", {}), row["kind"], "ok"
         silent = [m for m, at in seen.items() if row["ts_ms"] - at >= timeout_ms]
         for m in silent:
             del seen[m]
-        changes = int(bool(silent))
-        if row["kind"] == "leave":
-            changes += seen.pop(row["member"], None) is not None
-        elif row["kind"] == "join" or row["member"] in seen:
-            changes += row["kind"] == "join"  # also where a member joins again
+        generation = state.get("generation", 0) + bool(silent)
+        if kind != "join" and row["generation"] is not None and row["generation"] != generation:
+            outcome = "stale"
+        elif kind != "join" and row["member"] not in seen:
+            outcome = "unknown"
+        elif kind == "leave":
+            del seen[row["member"]]
+            generation += 1
+        else:
             seen[row["member"]] = row["ts_ms"]
-        state["generation"] = state.get("generation", 0) + changes
-        return {"group_id": row["group_id"], "seq": row["seq"], "generation": state["generation"], "members": sorted(seen)}
+            generation += kind == "join"
+        state["generation"] = generation
+        return {"group_id": row["group_id"], "seq": row["seq"], "outcome": outcome, "generation": generation, "members": sorted(seen)}
 
-    return ordered_fold(events, ["group_id"], ["seq"], step, "group_id string, seq long, generation long, members array<string>")
+    return ordered_fold(events, ["group_id"], ["seq"], step, "group_id string, seq long, outcome string, generation long, members array<string>")
 
 
 def sticky(previous: dict[int, str], members: list[str], partitions: int) -> dict[int, str]:

@@ -75,6 +75,12 @@ def view_changes(updates: DataFrame, since: int, window: int) -> DataFrame:
     return updates.crossJoin(top).filter((F.col("sequence") > since) & (F.col("sequence") > F.col("_top") - window)).drop("_top")
 
 
+def watched(watchers: DataFrame, window: DataFrame) -> DataFrame:
+    """watchers (since) with ``expired`` (the change after ``since`` is gone) and else ``changes``; window: one row of first and last."""
+    rows = watchers.crossJoin(F.broadcast(window)).withColumn("expired", F.col("since") + 1 < F.col("first"))
+    return rows.withColumn("changes", F.when(~F.col("expired"), F.greatest(F.col("last") - F.col("since"), F.lit(0)))).drop("first", "last")
+
+
 def offset_gaps(log: DataFrame) -> DataFrame:
     """Rows whose offset doesn't follow the one before."""
     return log.withColumn("before", F.lag("off").over(_partition().orderBy("off"))).filter(F.col("off") != F.col("before") + 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,20 @@ def binding_conflicts(spark, bindings: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "stream_a string, pattern_a string, stream_b string, pattern_b string")
 
 
+def catalog_errors(spark, bindings: list[tuple[str, str]]) -> DataFrame:
+    """(stream, error) of a catalog's streams in the order they are given: an invalid pattern, a name twice, an overlap with a later stream."""
+    rows, seen = [], set()
+    valid = [(n, p) for n, p in bindings if re.search(subjects.PATTERN, p)]
+    for n, p in bindings:
+        if (n, p) not in valid:
+            rows.append((n, "invalid"))
+        elif n in seen:
+            rows.append((n, "duplicate"))
+        seen.add(n)
+    rows += [(a, f"overlap {b}") for i, (a, p) in enumerate(valid) for b, q in valid[i + 1 :] if a != b and subjects.overlap(p, q)]
+    return spark.createDataFrame(sorted(set(rows)), "stream string, error string")
+
+
 def request_reply(requests: DataFrame, replies: DataFrame) -> DataFrame:
     """Each request with the reply sent to its address."""
     return requests.join(replies, requests.reply_to == replies.subject, "left")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions import hashing, scalars, workload
-from rillmark.operators import budgets, compatibility, consumption, lifecycle, middleware, routing, state
-from rillmark.plans.control import _LEASES, _leases
-from rillmark.plans.queries import _FNV, _LOG, _MSG, _PRODUCERS, NOW, _log, _messages, _producers
+from rillmark.operators import budgets, compatibility, consumption, delivery, lifecycle, middleware, routing, state
+from rillmark.plans.control import _LEASES, _leases, _pending
+from rillmark.plans.queries import _FNV, _LOG, _MSG, _PRODUCERS, NOW, _log, _messages, _producers, _samples
 from rillmark.sources import events as ev
 from rillmark.sources import storage
 
@@ -380,9 +380,104 @@ def jn_large_index(s, d):
 JN_LARGE_INDEX = """WITH s AS (SELECT range AS seq, range % 97 AS a, range % 1009 AS b, range % 31 AS c FROM range(3000)), p AS (SELECT range % 3 AS k, range % 97 AS a, range % 1009 AS b, range % 31 AS c FROM range(10000))
  SELECT seq, count(*) AS n FROM s JOIN p ON s.a = p.a AND (k = 1 OR s.b = p.b) AND (k = 2 OR s.c = p.c) GROUP BY 1"""
 
+def agg_consumer_load(s, d):
+    """Each consumer's pending messages, those in flight, and the lag that both make."""
+    held = _leases(s, d).groupBy("consumer").agg(F.count("*").alias("in_flight"))
+    waiting = _pending(s, d).groupBy("consumer").agg(F.count("*").alias("pending"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return held.join(waiting, "consumer", "full").select("consumer", n("in_flight").alias("in_flight"), n("pending").alias("pending"), (n("in_flight") + n("pending")).alias("lag"))
+
+
+AGG_CONSUMER_LOAD = f"{_LEASES}, a AS (SELECT consumer, 1 AS f, 0 AS p FROM leases UNION ALL SELECT consumer, 0, 1 FROM pending) SELECT consumer, CAST(sum(f) AS BIGINT) AS in_flight, CAST(sum(p) AS BIGINT) AS pending, count(*) AS lag FROM a GROUP BY 1"
+
+
+def agg_rates(s, d):
+    """Messages and MiB a second over all, by role, and by role and client; no time gives no rate."""
+    t = state.throughput(_samples(s, d))
+    per = lambda c, unit: F.round(F.when(F.col("elapsed") > 0, F.col(c) / unit * 1_000_000 / F.col("elapsed")).otherwise(0.0), 4)
+    return t.select("role", "client", per("ops", 1).alias("messages_s"), per("bytes", 1 << 20).alias("mib_s"))
+
+
+AGG_RATES = "SELECT l_returnflag AS role, l_linestatus AS client, round(count(*) * 1000000.0e0 / max(l_extendedprice), 4) AS messages_s, round(sum(l_quantity) / 1048576.0e0 * 1000000 / max(l_extendedprice), 4) AS mib_s FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_returnflag, l_linestatus))"
+
+
+def agg_latency_buckets(s, d):
+    """A cumulative histogram in long form, with its sum and count."""
+    v = F.col("elapsed")
+    sums = _samples(s, d).agg(F.round(F.sum(v), 2).alias("sum"), F.count("*").cast("double").alias("count"))
+    return state.histogram(_samples(s, d), v).select("le", F.col("n").cast("double").alias("value")).unionByName(sums.select(F.expr("stack(2, 'sum', sum, 'count', count) as (le, value)")))
+
+
+AGG_LATENCY_BUCKETS = "SELECT unnest(['9', '99', '999', '9999', '99999', '+Inf', 'sum', 'count']) AS le, unnest([count(*) FILTER (e <= 9), count(*) FILTER (e <= 99), count(*) FILTER (e <= 999), count(*) FILTER (e <= 9999), count(*) FILTER (e <= 99999), count(*), round(sum(e), 2), count(*)]::DOUBLE[]) AS value FROM (SELECT l_extendedprice AS e FROM lineitem)"
+
+
+def jn_allow_list(s, d):
+    """Messages by whether their client's allow-list, a table of patterns, has one that matches."""
+    patterns = [("c0", "events/click/*"), ("c0", "events/view/**"), ("c1", "events/view/**"), ("c1", "events/purchase/**"), ("c2", "events/*/7"), ("c3", "events/click/*")]
+    m = _messages(s, d).withColumn("client", F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")))
+    allowed = routing.fan_out(m, patterns).filter("subscriber = client").select("seq").distinct().withColumn("_ok", F.lit(True))
+    return m.join(allowed, "seq", "left").groupBy("client", F.coalesce("_ok", F.lit(False)).alias("allowed")).agg(F.count("*").alias("n"))
+
+
+JN_ALLOW_LIST = f"""WITH {_MSG}, a AS (SELECT 'c' || (user_id % 5) AS client, CASE user_id % 5 WHEN 0 THEN event_type IN ('click', 'view') WHEN 1 THEN event_type IN ('view', 'purchase') WHEN 2 THEN user_id = 7 WHEN 3 THEN event_type = 'click' ELSE false END AS allowed FROM msg)
+ SELECT client, allowed, count(*) AS n FROM a GROUP BY ALL"""
+
+
+def pt_epochs(s, d):
+    """The partition count in force at each message, from a table of changes: the last one at or before it."""
+    changes = s.createDataFrame([(0, 1, 4), (300, 2, 8), (700, 3, 16)], "seq long, epoch long, partitions long")
+    at = Window.partitionBy("stream").orderBy("seq", "_m").rowsBetween(Window.unboundedPreceding, 0)
+    m = ev.bound(_messages(s, d)).select("stream", "seq", F.lit(None).cast("long").alias("epoch"), F.lit(None).cast("long").alias("partitions"), F.lit(1).alias("_m"))
+    streams = s.createDataFrame([("purchases",), ("telemetry",)], "stream string")
+    both = m.unionByName(streams.crossJoin(F.broadcast(changes)).withColumn("_m", F.lit(0)))  # two streams, three changes
+    filled = both.select("stream", "seq", "_m", *[F.last(c, True).over(at).alias(c) for c in ("epoch", "partitions")])
+    return filled.filter("_m = 1").select("stream", "seq", "epoch", "partitions", (F.col("seq") % 3 + 1 < F.col("epoch")).alias("refresh"))
+
+
+PT_EPOCHS = f"WITH {_MSG}, c(at_, epoch, partitions) AS (VALUES (0, 1, 4), (300, 2, 8), (700, 3, 16)) SELECT stream, seq, CAST(epoch AS BIGINT) AS epoch, CAST(partitions AS BIGINT) AS partitions, seq % 3 + 1 < epoch AS refresh FROM msg ASOF JOIN c ON msg.seq >= c.at_"
+
+
+def dlv_dead_admin(s, d):
+    """Dead letters by consumer after old ones were purged: how many, the oldest, and the one that is read first."""
+    dead = _leases(s, d).filter("attempt >= 4").select("consumer", "seq", "attempt", "deadline_ms")
+    return delivery.dead_letters(dead, NOW - 2000).groupBy("consumer").agg(F.count("*").alias("n"), F.min("deadline_ms").alias("oldest"), F.min(F.struct("deadline_ms", "seq")).getField("seq").alias("first"))
+
+
+DLV_DEAD_ADMIN = f"{_LEASES} SELECT consumer, count(*) AS n, min(deadline_ms) AS oldest, arg_min(seq, (deadline_ms, seq)) AS first FROM leases WHERE attempt >= 4 AND deadline_ms >= {NOW} - 2000 GROUP BY 1"
+
+
+def ret_acks(s, d):
+    """Cursors that retention overtakes: they move to the floor, count a gap, and forget acknowledgements below it."""
+    floors = lifecycle.age_floor(_log(s, d), NOW, 12 * 86_400_000).groupBy("stream", "part").agg(F.first("floor").alias("floor"), F.max("off").alias("top"))
+    cursors = floors.select("stream", "part", F.floor(F.col("top") / 3).alias("committed"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.floor(F.col("top") * i / 6)).alias("acked"))
+    return consumption.floors_applied(cursors, floors.select("stream", "part", "floor"))
+
+
+RET_ACKS = _LOG + f", f AS (SELECT stream, part, max(off) AS top, coalesce(min(CASE WHEN {NOW} - ts_ms <= {12 * 86_400_000} THEN off END), max(off) + 1) AS fl FROM log GROUP BY 1, 2) SELECT stream, part, greatest(top // 3, fl) AS committed, CAST(CASE WHEN top // 3 < fl THEN 1 ELSE 0 END AS BIGINT) AS gaps, len(list_filter([top // 6, top * 2 // 6, top * 3 // 6, top * 4 // 6, top * 5 // 6, top], lambda x: x >= greatest(top // 3, fl))) AS acked FROM f"
+
+
+def vw_watch_status(s, d):
+    """Watchers of a view that keeps 500 changes: what each still gets, or that its cursor has expired."""
+    watchers = ev.table(s, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 40).cast("long").alias("since"))
+    first, last = F.greatest(F.max("seq") - 499, F.lit(1)), F.max("seq")
+    window = _messages(s, d).agg(first.alias("first"), last.alias("last"))
+    return lifecycle.watched(watchers, window).select("n_nationkey", "expired", "changes")
+
+
+VW_WATCH_STATUS = f"WITH {_MSG}, w AS (SELECT greatest(max(seq) - 499, 1) AS first, max(seq) AS last FROM msg) SELECT n_nationkey, n_nationkey * 40 + 1 < first AS expired, CASE WHEN n_nationkey * 40 + 1 >= first THEN greatest(last - n_nationkey * 40, 0) END AS changes FROM nation, w"
+
+
+def jn_catalog(s, d):
+    """Streams that can't be in one catalog: a name twice, or two whose patterns may match one subject."""
+    return routing.catalog_errors(s, [("a", "orders/**"), ("b", "orders/*/created"), ("a", "x"), ("c", "y/z"), ("d", "/bad"), ("e", "y/*/q")])
+
+
+JN_CATALOG = "SELECT * FROM (VALUES ('a', 'duplicate'), ('a', 'overlap b'), ('d', 'invalid')) AS t(stream, error)"
+
+
 ALL = {
     f.__name__: (f, globals().get(f.__name__.upper()))
-    for f in (fn_workload, fn_pacing, fn_ack_subject, fn_saturating, fn_duration, fn_crc32, flt_message, flt_names, pt_state_shard, pt_leaders, prj_envelope, rbc_snapshot, aud_status, agg_producers, rep_committed, grp_commit_fenced, grp_sticky, grp_expand, cur_delivered, cur_ack_window, dlv_nack, dlv_jitter, qta_work, sch_register, sch_avro, sch_protobuf, src_replay, src_assigned, src_subject_offsets, vw_apply, vw_snapshot, cmp_superseded, udf_pipeline, jn_large_index)
+    for f in (fn_workload, fn_pacing, fn_ack_subject, fn_saturating, fn_duration, fn_crc32, flt_message, flt_names, pt_state_shard, pt_leaders, prj_envelope, rbc_snapshot, aud_status, agg_producers, rep_committed, grp_commit_fenced, grp_sticky, grp_expand, cur_delivered, cur_ack_window, dlv_nack, dlv_jitter, qta_work, sch_register, sch_avro, sch_protobuf, src_replay, src_assigned, src_subject_offsets, vw_apply, vw_snapshot, cmp_superseded, udf_pipeline, jn_large_index, agg_consumer_load, agg_rates, agg_latency_buckets, jn_allow_list, pt_epochs, dlv_dead_admin, ret_acks, vw_watch_status, jn_catalog)
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.operators import compatibility, delivery, folds
+from rillmark.plans import foldsql
 from rillmark.plans.queries import NOW
 from rillmark.sources import events as ev
 from rillmark.streaming import log as stream
@@ -210,7 +211,7 @@ def rep_ship(s, d):
 def grp_generations(s, d):
     """Events as joins, heartbeats and leaves of ten members in groups by user."""
     kind = F.when(F.col("event_type") == "signup", "join").when(F.col("event_type") == "error", "leave").when(F.col("event_type") == "purchase", "join").otherwise("heartbeat")
-    e = ev.table(s, d, "events").select(F.col("user_id").cast("string").alias("group_id"), F.col("event_id").cast("long").alias("seq"), kind.alias("kind"), F.concat(F.lit("m"), (F.col("event_id") % 10).cast("string")).alias("member"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    e = ev.table(s, d, "events").select(F.col("user_id").cast("string").alias("group_id"), F.col("event_id").cast("long").alias("seq"), kind.alias("kind"), F.concat(F.lit("m"), (F.col("event_id") % 10).cast("string")).alias("member"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.when(F.col("event_id") % 9 == 0, 0).cast("long").alias("generation"))
     return folds.group_generations(e, 7 * 86_400_000)
 
 
@@ -262,7 +263,7 @@ def stm_once(s, d):
 STM_ONCE = "SELECT event_id FROM events"
 
 ALL = {
-    f.__name__: (f, globals().get(f.__name__.upper()))
+    f.__name__: (f, globals().get(f.__name__.upper()) or getattr(foldsql, f.__name__.upper(), None))
     for f in (dlv_expiry, dlv_next_pull, dlv_head_of_line, dlv_valid_acks, dlv_extend, dlv_restart, ord_unsub_limit, agg_due_age, agg_scale_gate, agg_alert_hold, agg_changes, agg_histogram_quantile, agg_regions, rep_safe_leader, rep_catch_up, enc_round_trip, qta_reserve, rep_ship, grp_generations, plc_moves, sch_compatible, stm_windows, stm_view, stm_once)
 }
 

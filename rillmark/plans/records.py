@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import subjects
 from rillmark.operators import consumption, ledgers, lifecycle, routing
+from rillmark.plans import foldsql
 from rillmark.plans.control import BROKERS
 from rillmark.plans.queries import _LOG, _MSG, AGE, NOW, PATTERNS, _log, _messages, _like
 from rillmark.sources import events as ev
@@ -116,12 +117,12 @@ GRP_MOVED = "WITH m AS (SELECT 'g' || n_regionkey AS grp, list_sort(list(DISTINC
 
 
 def txn_prune(s, d):
-    """Finished transactions that a checkpoint drops: all but the last 64 of each producer by id."""
-    done = ev.table(s, d, "orders").filter("o_orderstatus <> 'O'").select((F.col("o_custkey") % 5).alias("producer"), F.col("o_orderkey").alias("txn"))
-    return done.withColumn("_r", F.row_number().over(Window.partitionBy("producer").orderBy(F.desc("txn")))).filter("_r > 64").drop("_r")
+    """Finished transactions that a checkpoint drops: all but the greatest ids, 16 for each that may be open, 64 at least."""
+    done = ev.table(s, d, "orders").filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("txn"))
+    return ledgers.pruned(done, 5)
 
 
-TXN_PRUNE = "SELECT o_custkey % 5 AS producer, o_orderkey AS txn FROM orders WHERE o_orderstatus <> 'O' QUALIFY row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey DESC) > 64"
+TXN_PRUNE = "SELECT o_orderkey AS txn FROM orders WHERE o_orderstatus <> 'O' QUALIFY row_number() OVER (ORDER BY o_orderkey DESC) > 80"
 
 
 def jn_dangling(s, d):
@@ -320,7 +321,7 @@ def rep_roles(s, d):
 
 def plc_phases(s, d):
     """Line items as progress reports of moves."""
-    k = F.col("l_linenumber")
+    k = F.round(F.col("l_extendedprice") * 100)  # differs within an order
     return ledgers.move_phases(ev.table(s, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("id"), k.cast("long").alias("seq"), F.when(F.col("l_returnflag") == "A", "rollback").otherwise("advance").alias("kind"), (F.col("l_partkey") % 5 != 0).alias("quorum"), (F.col("l_suppkey") % 10 + 3).alias("match_offset"), F.lit(6).alias("high_watermark")))
 
 
@@ -333,7 +334,7 @@ def plc_transfers(s, d):
 
 
 ALL = {
-    f.__name__: (f, globals().get(f.__name__.upper()))
+    f.__name__: (f, globals().get(f.__name__.upper()) or getattr(foldsql, f.__name__.upper(), None))
     for f in (flt_traceparent, flt_assigned_partitions, flt_below_floor, ret_released_bytes, vw_projection, ord_page_status, ord_turn, dlv_scheduled_due, dlv_replay, dlv_auto_ack, grp_moved, txn_prune, jn_dangling, jn_mesh_peers, jn_publish_allowed, jn_filter_streams, pt_sticky, pt_expansion, sch_versions, sch_lookup, agg_quota_status, agg_metrics, src_tiered, snk_orphans, wal_replay, rbc_bindings, bat_ingress, snk_queue, ord_credit, qta_ledger, qta_moves, txn_fold, rep_roles, plc_phases, plc_transfers)
 }
 

@@ -42,10 +42,11 @@ def test_shipped(spark):
 
 
 def test_generations(spark):
-    rows = [(1, "join", "a", 0), (2, "join", "b", 10), (3, "heartbeat", "a", 90), (4, "heartbeat", "a", 115), (5, "leave", "a", 120), (6, "leave", "a", 121), (7, "join", "a", 130), (8, "join", "a", 131)]
-    df = spark.createDataFrame([("g", *r) for r in rows], "group_id string, seq long, kind string, member string, ts_ms long")
+    rows = [(1, "join", "a", 0), (2, "join", "b", 10), (3, "heartbeat", "a", 90), (4, "heartbeat", "a", 115), (5, "leave", "a", 120), (6, "leave", "a", 121), (7, "join", "a", 130), (8, "join", "a", 131), (9, "leave", "a", 132, 5), (10, "heartbeat", "a", 133, 6), (11, "leave", "a", 134, 6)]
+    df = spark.createDataFrame([("g", *r, *[None] * (5 - len(r))) for r in rows], "group_id string, seq long, kind string, member string, ts_ms long, generation long")
     got = folds.group_generations(df, 100).orderBy("seq").collect()
-    assert [(r.generation, r.members) for r in got] == [(1, ["a"]), (2, ["a", "b"]), (2, ["a", "b"]), (3, ["a"]), (4, []), (4, []), (5, ["a"]), (6, ["a"])]
+    assert [(r.generation, r.members) for r in got] == [(1, ["a"]), (2, ["a", "b"]), (2, ["a", "b"]), (3, ["a"]), (4, []), (4, []), (5, ["a"]), (6, ["a"]), (6, ["a"]), (6, ["a"]), (7, [])]
+    assert [r.outcome for r in got] == ["ok"] * 5 + ["unknown", "ok", "ok", "stale", "ok", "ok"]
 
 
 def test_sticky():
