@@ -1,6 +1,7 @@
 """Cases that went wrong once, or would: colliding words, hot keys, lost rows, long texts, clashing names, many partitions."""
 
 import hashlib
+import re
 import time
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.llm import decontamination, langid, lm_score, near_dedup, pii, sst, toxicity, url_filter, util
+from rillmark.llm import decontamination, langid, lm_score, media, near_dedup, pii, sst, toxicity, url_filter, util
 from rillmark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -283,3 +284,79 @@ def test_pii_masked(spark):
         for _, a, b in pii.brute_force(t):
             chars[a:b] = "*" * (b - a)
         assert got[i] == (None if t is None else "".join(chars))
+
+
+def test_pipeline_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    other = " ".join(reversed(BASE.split()))
+    rows = [(0, None, None, None, 0), (1, "", "en", "", 0), (None, BASE, "en", "x", 1), (3, BASE, "en", "x", 9), (3, BASE, "en", "x", 9), (5, other, "en", "x", 1), (5, BASE.replace("quick", "slow"), "en", "x", 1), (7, "word " * 60_000, None, None, 0), (8, "you idiot moron, you stupid scum " * 20, "en", "y", 0)]
+    clash = ("toxicity", "contamination", "row", "scored", "searched", "digest", "_row", "label", "taken", "slot")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in clash:
+        docs = docs.withColumn(c, F.lit(1))
+    seen = {}
+    for name, stage in cp.STAGES:
+        before, docs = docs, util.written(stage(spark, docs, sf), "test")
+        seen[name] = docs.collect()
+        assert name == "token output" or docs.columns == before.columns
+    assert 8 not in {r.doc_id for r in seen["toxicity"]} and len(seen["toxicity"]) == 8
+    assert sorted((r.doc_id, r.text) for r in seen["near-duplicates"] if r.doc_id in (3, 5)) == [(3, BASE), (5, other)] and len(seen["near-duplicates"]) == 6
+    assert len(seen["decontamination"]) == 6
+    assert {r.doc_id for r in seen["mixing"]} <= {None, 3, 5, 7} and all(r.text for r in seen["mixing"])
+    assert sorted(r.doc_id or -1 for r in seen["token output"]) == sorted(r.doc_id or -1 for r in seen["mixing"])
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in cp.STAGES:
+        docs = util.written(stage(spark, docs, sf), "test")
+        assert docs.count() == 0
+
+
+def test_media_by_hand(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()] + [(900, None), (901, ""), (902, "é" * 96), (903, "x" * 192), (904, "word " * 50_000)]
+    got = {r.doc_id: r for r in media.described(media.with_media(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, t in rows:
+        data = (t or "").encode()
+        payload = data + b" " * ((-len(data)) % 192 or (192 if not data else 0))
+        png = media.to_png(payload)
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 192).astype(float)
+        basis = lambda n: np.array([[np.cos(np.pi * (2 * x + 1) * k / (2 * n)) * np.sqrt(2 / n) for x in range(n)] for k in range(8)])
+        c = (basis(len(image)) @ image @ basis(192).T).ravel()
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(r.feature), np.uint8))
+        far = np.abs(c[1:] - np.median(c[1:])) > 0.5  # what rounding may turn stays out
+        assert ((c[1:] > np.median(c[1:])) == bits[1:])[far].all() and bits[0] == (c[0] > 0)
+
+
+def test_pii_spans_by_hand(spark):
+    """The whole pattern graph again in plain Python, on texts with planted contexts."""
+    rng = np.random.default_rng(9)
+    texts = [f"{rng.choice(['write to', 'mail', 'the'])} {rng.choice(['u%d@mail.example.org' % i, 'u%d@host' % i, '+1 202 555 %04d' % i, '10.0.0.%d' % (i % 250), '555 01%02d 77' % (i % 90)])} and more" for i in range(300)]
+    d = docs_of(spark, texts)
+    cand = {r.doc_id: [c.asDict(recursive=True) for c in r.candidates] for r in pii.extracted(d).collect()}
+    edges, uses = Counter(), Counter(w.lower() for t in texts for w in re.findall(r"[^\W\d_]+", t))
+    seeds = set()
+    for c in (c for x in cand.values() for c in x):
+        for kind in c["seeds"] or c["kinds"]:
+            for context in filter(None, c["contexts"]):
+                edges[kind, context, c["instance"]] += 1
+                if c["seeds"]:
+                    seeds.add((kind, context, c["instance"]))
+    support = Counter((k, c) for k, c, _ in seeds)
+    edges = {e: n for e, n in edges.items() if support[e[:2]] >= pii.SUPPORT}
+    score = {(k, i): float(any((k, c, i) in seeds for (k2, c, i2) in edges if (k2, i2) == (k, i))) for k, _, i in edges}
+    for turn in range(pii.ROUNDS):
+        total, weight = Counter(), Counter()
+        for (k, c, i), n in edges.items():
+            total[k, c] += n
+            weight[k, c] += n * score[k, i]
+        conf = {p: weight[p] / max(uses[p[1][2:]], total[p]) for p in total}
+        for k, i in score:
+            if score[k, i] < 1 or not any((k, c, i) in seeds for c in {e[1] for e in edges}):
+                score[k, i] = 1 - float(np.prod([1 - min(conf[k, c], 1 - 1e-6) for (k2, c, i2) in edges if (k2, i2) == (k, i)]))
+    kept = {p for p, x in conf.items() if x >= pii.CONFIDENCE}
+    for r in pii.spans(d).collect():
+        more = {(k, c["start"], c["end"]) for c in cand[r.doc_id] if not c["seeds"] for k in c["kinds"] if any((k, x) in kept for x in c["contexts"] if x)}
+        assert [tuple(s) for s in r.spans] == sorted({tuple(b) for b in r.base} | more)
