@@ -72,6 +72,27 @@ def expanded(requests: DataFrame, most: int, start: int = 1) -> DataFrame:
     return rows.select("grp", "seq", outcome.alias("outcome"), F.when(F.col("asked").between(F.col("_before"), F.lit(most)), F.col("asked")).otherwise(F.col("_before")).alias("partitions"))
 
 
+def registrations(rows: DataFrame, version: int, first_revision: int, revision: int) -> DataFrame:
+    """(seq, broker, outcome, session, fenced, snapshot, updates) of brokers' registrations (version, broker, incarnation, last_revision).
+
+    An incarnation below the broker's last is stale; an accepted one ends the session before. Updates ``first_revision`` to
+    ``revision`` are kept: who lacks an earlier one gets a snapshot (one row) instead. Sessions number what is accepted.
+    """
+    bad = F.when(F.col("version") != version, "unsupported").when((F.col("broker") == 0) | (F.col("incarnation") == 0), "invalid")
+    w = Window.partitionBy("broker").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_bad", bad).withColumn("_before", F.max(F.when(F.col("_bad").isNull(), F.col("incarnation"))).over(w))
+    rows = rows.withColumn("outcome", F.coalesce("_bad", F.when(F.col("incarnation") < F.col("_before"), "stale").otherwise("accepted")))
+    ok = F.col("outcome") == "accepted"
+    # sessions in two levels: ranges of seq, and within one
+    rows = rows.withColumn("_b", F.floor(F.col("seq") / (1 << 20)))
+    per = rows.groupBy("_b").agg(F.count_if(ok).alias("_n"))
+    before = per.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_base"))
+    within = F.count_if(ok).over(Window.partitionBy("_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    snapshot = F.col("last_revision") + 1 < first_revision
+    updates = F.when(snapshot, 1).otherwise(F.greatest(revision - F.col("last_revision"), F.lit(0)))
+    return rows.withColumn("_w", within).join(before, "_b").select("seq", "broker", "outcome", F.when(ok, F.col("_base") + F.col("_w")).alias("session"), (ok & F.col("_before").isNotNull()).alias("fenced"), F.when(ok, snapshot).alias("snapshot"), F.when(ok, updates).alias("updates"))
+
+
 def lag(log: DataFrame, cursors: DataFrame) -> DataFrame:
     """high watermark - committed, not below 0."""
     ends = log.groupBy(*_KEY).agg((F.max("off") + 1).alias("high"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions import hashing, scalars, workload
-from rillmark.operators import budgets, compatibility, consumption, delivery, lifecycle, middleware, routing, state
+from rillmark.operators import budgets, compatibility, consumption, delivery, lifecycle, middleware, replay, routing, state
 from rillmark.plans.control import _LEASES, _leases, _pending
-from rillmark.plans.queries import _FNV, _LOG, _MSG, _PRODUCERS, NOW, _log, _messages, _producers, _samples
+from rillmark.plans.queries import _FNV, _LOG, _MSG, _PRODUCERS, _TXN, NOW, _log, _messages, _producers, _samples, _txn
 from rillmark.sources import events as ev
 from rillmark.sources import storage
 
@@ -475,9 +475,97 @@ def jn_catalog(s, d):
 JN_CATALOG = "SELECT * FROM (VALUES ('a', 'duplicate'), ('a', 'overlap b'), ('d', 'invalid')) AS t(stream, error)"
 
 
+def wal_state(s, d):
+    """Orders as the twelve kinds of records: what a replay leaves of messages, consumers, deliveries, dead letters, producers and groups."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, (1, 5, 3, 4, 2, 6, 12, 8, 9, 10, 11, 7, 1, 3, 4, 2, 8))), (k % 17 + 1).cast("int"))
+    msg = F.when(k % 17 == 2, k - 2).when(k % 17 == 3, k - 3).when(k % 17 == 13, k - 1).when(k % 17 == 14, k - 2).when(F.col("kind").isin(8, 9), k % 50).otherwise(k)
+    # half of the consumers have no cursor and are never deleted
+    consumer = F.when(F.col("kind").isin(6, 12, 7), F.col("o_custkey") % 10).otherwise(F.col("o_custkey") % 20)
+    records = ev.table(s, d, "orders").withColumn("kind", kind).select(k.alias("ord"), "kind", consumer.alias("consumer"), msg.alias("msg"))
+    return replay.summary(records, F.col("consumer") % 3 == F.col("msg") % 3)
+
+
+WAL_STATE = """WITH o AS (SELECT o_orderkey AS k, o_custkey AS cu, [1, 5, 3, 4, 2, 6, 12, 8, 9, 10, 11, 7, 1, 3, 4, 2, 8][CAST(o_orderkey % 17 + 1 AS INTEGER)] AS kind FROM orders),
+ r AS (SELECT k AS ord, kind, CASE WHEN kind IN (6, 12, 7) THEN cu % 10 ELSE cu % 20 END AS consumer, CASE WHEN k % 17 = 2 THEN k - 2 WHEN k % 17 = 3 THEN k - 3 WHEN k % 17 = 13 THEN k - 1 WHEN k % 17 = 14 THEN k - 2 WHEN kind IN (8, 9) THEN k % 50 ELSE k END AS msg FROM o),
+ g AS (SELECT consumer, coalesce(max(ord) FILTER (kind = 7), -1) AS gone FROM r GROUP BY 1), st AS (SELECT r.consumer, min(ord) AS start FROM r JOIN g ON r.consumer = g.consumer WHERE kind = 2 AND ord > gone GROUP BY 1),
+ live AS (SELECT st.consumer, start, (SELECT min(ord) FROM r WHERE r.consumer = st.consumer AND kind IN (6, 12) AND ord > start) AS cursor_ FROM st),
+ told AS (SELECT r.consumer, msg, bool_or(kind = 4) AS acked FROM r JOIN live ON r.consumer = live.consumer WHERE kind IN (3, 4) AND ord > start GROUP BY ALL),
+ want AS (SELECT DISTINCT live.consumer, msg FROM r JOIN live ON ord > start AND (cursor_ IS NULL OR ord < cursor_) AND live.consumer % 3 = msg % 3 WHERE kind IN (1, 5)),
+ dl AS (SELECT coalesce(want.consumer, told.consumer) AS c, coalesce(want.msg, told.msg) AS msg, CASE WHEN acked THEN 'acked' WHEN NOT acked THEN 'in_flight' ELSE 'pending' END AS state FROM want FULL JOIN told ON want.consumer = told.consumer AND want.msg = told.msg)
+ SELECT state AS entity, count(*) AS n, max(msg) AS last FROM dl GROUP BY 1 UNION ALL SELECT 'messages', count(DISTINCT msg), max(ord) FROM r WHERE kind IN (1, 5) UNION ALL SELECT 'consumers', count(*), max(start) FROM live
+ UNION ALL SELECT 'dead_letters', count(*), max(ord) FROM (SELECT msg, arg_max(kind, ord) AS kind, max(ord) AS ord FROM r WHERE kind IN (8, 9) GROUP BY 1) WHERE kind = 8 UNION ALL SELECT 'producer_sequences', count(DISTINCT (consumer, msg)), max(ord) FROM r WHERE kind = 10 UNION ALL SELECT 'groups', count(DISTINCT consumer), max(ord) FROM r WHERE kind = 11"""
+
+
+def rep_registrations(s, d):
+    """Brokers' registrations: refused by protocol, identity or an older incarnation; else with a session, and updates or a snapshot."""
+    k = F.col("o_orderkey")
+    rows = ev.table(s, d, "orders").select(k.alias("seq"), F.when(k % 31 == 0, 1).otherwise(2).alias("version"), (F.col("o_custkey") % 12).alias("broker"), F.floor((k + k % 13 * 40) / 500).alias("incarnation"), (k % 90).alias("last_revision"))
+    return consumption.registrations(rows, version=2, first_revision=40, revision=75)
+
+
+REP_REGISTRATIONS = """WITH r AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 2 END AS version, o_custkey % 12 AS broker, (o_orderkey + o_orderkey % 13 * 40) // 500 AS incarnation, o_orderkey % 90 AS last_revision FROM orders),
+ v AS (SELECT *, CASE WHEN version <> 2 THEN 'unsupported' WHEN broker = 0 OR incarnation = 0 THEN 'invalid' END AS bad FROM r), p AS (SELECT *, max(CASE WHEN bad IS NULL THEN incarnation END) OVER (PARTITION BY broker ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
+ o AS (SELECT *, coalesce(bad, CASE WHEN incarnation < before THEN 'stale' ELSE 'accepted' END) AS outcome FROM p)
+ SELECT seq, broker, outcome, CASE WHEN outcome = 'accepted' THEN count(*) FILTER (outcome = 'accepted') OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) END AS session, outcome = 'accepted' AND before IS NOT NULL AS fenced, CASE WHEN outcome = 'accepted' THEN last_revision + 1 < 40 END AS snapshot, CASE WHEN outcome = 'accepted' THEN CASE WHEN last_revision + 1 < 40 THEN 1 ELSE greatest(75 - last_revision, 0) END END AS updates FROM o"""
+
+
+def src_message_ids(s, d):
+    """What a source publishes its records under, so that a repeated poll is no news: a hash of their offset, and its generation."""
+    h = hashing.fnv1a(F.concat(F.lit("offset-"), F.col("event_id").cast("string")))
+    half = lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")
+    return ev.table(s, d, "events").select("event_id", F.concat(F.lit("source-"), half(h["hi"]), half(h["lo"]), F.lit("-7")).alias("message_id"))
+
+
+SRC_MESSAGE_IDS = f"WITH h AS (SELECT event_id, {_FNV.format("'offset-' || event_id")} AS h FROM events) SELECT event_id, 'source-' || lpad(lower(to_base(CAST(h // 4294967296 AS BIGINT), 16)), 8, '0') || lpad(lower(to_base(CAST(h % 4294967296 AS BIGINT), 16)), 8, '0') || '-7' AS message_id FROM h"
+
+
+def _gauges(df: DataFrame, labels: list[str], names: list[str]) -> DataFrame:
+    """Columns as (name, labels, value)."""
+    text = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in labels]) if labels else F.lit("")
+    return df.select(text.alias("labels"), *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["labels"], names, "name", "value").select("name", "labels", "value")
+
+
+def agg_exposition(s, d):
+    """Gauges and counters of partitions, consumers, producers, transactions, tenants, views and latencies, in long form."""
+    log = _log(s, d)
+    parts = log.groupBy("stream", "part").agg(F.count("*").alias("partition_messages"), F.sum("bytes").alias("partition_bytes"), (F.max("off") + 1).alias("partition_high_watermark"), F.min("ts_ms").alias("partition_oldest_ms"), F.max("ts_ms").alias("partition_newest_ms"), F.countDistinct("key").alias("partition_keys"), F.max("bytes").alias("partition_largest_record"))
+    leases, waiting = _leases(s, d), _pending(s, d)
+    held = leases.groupBy("consumer").agg(F.count("*").alias("consumer_in_flight"), F.count_if(F.col("retry_waiting")).alias("consumer_retry_waiting"), F.max("attempt").alias("consumer_max_attempt"), F.count_if(F.col("attempt") >= 4).alias("consumer_dead_letters"), F.count_if(F.col("deadline_ms") <= NOW).alias("consumer_leases_due"))
+    late = waiting.groupBy("consumer").agg(F.count("*").alias("consumer_pending"), F.greatest(NOW - F.min("scheduled_ms"), F.lit(0)).alias("consumer_oldest_due_ms"), F.count_if(F.col("scheduled_ms") > NOW).alias("consumer_scheduled"))
+    tenants = log.groupBy(F.col("event_type").alias("tenant")).agg(F.sum("bytes").alias("tenant_disk_bytes"), F.count("*").alias("tenant_messages"), F.countDistinct("user_id").alias("tenant_users"))
+    producers = _producers(s, d).groupBy("epoch").agg(F.countDistinct("producer").alias("producers"), F.max("sequence").alias("producer_last_sequence"))
+    states = state.transaction_states(_txn(s, d), NOW).groupBy("state").agg(F.count("*").alias("transactions"))
+    buckets = state.histogram(_samples(s, d), F.col("elapsed")).select("le", F.col("n").alias("latency_bucket"))
+    out = _gauges(log.agg(F.count("*").alias("messages_total"), F.sum("bytes").alias("bytes_total"), F.countDistinct("subject").alias("subjects"), F.countDistinct("stream").alias("streams"), F.countDistinct("stream", "part").alias("partitions")), [], ["messages_total", "bytes_total", "subjects", "streams", "partitions"])
+    for df, labels in ((parts, ["stream", "part"]), (held, ["consumer"]), (late, ["consumer"]), (tenants, ["tenant"]), (producers, ["epoch"]), (states, ["state"]), (buckets, ["le"])):
+        out = out.unionByName(_gauges(df, labels, [c for c in df.columns if c not in labels]))
+    return out
+
+
+def _long(table: str, labels: list[str], names: list[str]) -> str:
+    text = " || ',' || ".join(f"'{c}=' || {c}" for c in labels) or "''"
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, {text} AS labels, CAST({n} AS DOUBLE) AS value FROM {table}" for n in names)
+
+
+AGG_EXPOSITION = (
+    _LOG + ", " + _LEASES.removeprefix("WITH ") + ", " + _TXN.replace("txn AS", "tx AS", 1).replace("FROM txn GROUP", "FROM tx GROUP")
+    + f""", producers_ AS ({_PRODUCERS}), whole AS (SELECT count(*) AS messages_total, sum(bytes) AS bytes_total, count(DISTINCT subject) AS subjects, count(DISTINCT stream) AS streams, count(DISTINCT (stream, part)) AS partitions FROM log),
+ pa AS (SELECT stream, part, count(*) AS partition_messages, sum(bytes) AS partition_bytes, max(off) + 1 AS partition_high_watermark, min(ts_ms) AS partition_oldest_ms, max(ts_ms) AS partition_newest_ms, count(DISTINCT key) AS partition_keys, max(bytes) AS partition_largest_record FROM log GROUP BY 1, 2),
+ he AS (SELECT consumer, count(*) AS consumer_in_flight, count(*) FILTER (retry_waiting) AS consumer_retry_waiting, max(attempt) AS consumer_max_attempt, count(*) FILTER (attempt >= 4) AS consumer_dead_letters, count(*) FILTER (deadline_ms <= {NOW}) AS consumer_leases_due FROM leases GROUP BY 1),
+ la AS (SELECT consumer, count(*) AS consumer_pending, greatest({NOW} - min(scheduled_ms), 0) AS consumer_oldest_due_ms, count(*) FILTER (scheduled_ms > {NOW}) AS consumer_scheduled FROM pending GROUP BY 1),
+ te AS (SELECT event_type AS tenant, sum(bytes) AS tenant_disk_bytes, count(*) AS tenant_messages, count(DISTINCT user_id) AS tenant_users FROM log GROUP BY 1), pr AS (SELECT epoch, count(DISTINCT producer) AS producers, max(sequence) AS producer_last_sequence FROM producers_ GROUP BY 1),
+ ts_ AS (SELECT state, count(*) AS transactions FROM states GROUP BY 1), bu AS (SELECT unnest(['9', '99', '999', '9999', '99999', '+Inf']) AS le, unnest([count(*) FILTER (l_extendedprice <= 9), count(*) FILTER (l_extendedprice <= 99), count(*) FILTER (l_extendedprice <= 999), count(*) FILTER (l_extendedprice <= 9999), count(*) FILTER (l_extendedprice <= 99999), count(*)]) AS latency_bucket FROM lineitem) """
+    + " UNION ALL ".join(_long(t, labels, names.split()) for t, labels, names in (
+        ("whole", [], "messages_total bytes_total subjects streams partitions"), ("pa", ["stream", "part"], "partition_messages partition_bytes partition_high_watermark partition_oldest_ms partition_newest_ms partition_keys partition_largest_record"),
+        ("he", ["consumer"], "consumer_in_flight consumer_retry_waiting consumer_max_attempt consumer_dead_letters consumer_leases_due"), ("la", ["consumer"], "consumer_pending consumer_oldest_due_ms consumer_scheduled"),
+        ("te", ["tenant"], "tenant_disk_bytes tenant_messages tenant_users"), ("pr", ["epoch"], "producers producer_last_sequence"), ("ts_", ["state"], "transactions"), ("bu", ["le"], "latency_bucket")))
+)
+
+
 ALL = {
     f.__name__: (f, globals().get(f.__name__.upper()))
-    for f in (fn_workload, fn_pacing, fn_ack_subject, fn_saturating, fn_duration, fn_crc32, flt_message, flt_names, pt_state_shard, pt_leaders, prj_envelope, rbc_snapshot, aud_status, agg_producers, rep_committed, grp_commit_fenced, grp_sticky, grp_expand, cur_delivered, cur_ack_window, dlv_nack, dlv_jitter, qta_work, sch_register, sch_avro, sch_protobuf, src_replay, src_assigned, src_subject_offsets, vw_apply, vw_snapshot, cmp_superseded, udf_pipeline, jn_large_index, agg_consumer_load, agg_rates, agg_latency_buckets, jn_allow_list, pt_epochs, dlv_dead_admin, ret_acks, vw_watch_status, jn_catalog)
+    for f in (fn_workload, fn_pacing, fn_ack_subject, fn_saturating, fn_duration, fn_crc32, flt_message, flt_names, pt_state_shard, pt_leaders, prj_envelope, rbc_snapshot, aud_status, agg_producers, rep_committed, grp_commit_fenced, grp_sticky, grp_expand, cur_delivered, cur_ack_window, dlv_nack, dlv_jitter, qta_work, sch_register, sch_avro, sch_protobuf, src_replay, src_assigned, src_subject_offsets, vw_apply, vw_snapshot, cmp_superseded, udf_pipeline, jn_large_index, agg_consumer_load, agg_rates, agg_latency_buckets, jn_allow_list, pt_epochs, dlv_dead_admin, ret_acks, vw_watch_status, jn_catalog, wal_state, rep_registrations, src_message_ids, agg_exposition)
 }
 
 

@@ -91,3 +91,24 @@ def test_torn_file_is_left_out(spark):
         f.truncate(100)
     left = q.storage.replayed(spark, path)
     assert left.filter("part = 1 and stream = 'telemetry'").count() == 0 and left.filter("part = 2").count() > 0
+
+
+def test_view_registry(spark):
+    from rillmark.operators.views import View, ViewRegistry
+
+    log, r = q._log(spark, SF), ViewRegistry(2)
+    r.create(View("a", "t", "purchases"))
+    r.create(View("b", "t", "telemetry", "events/click/*", F.col("key")))
+    for bad in (View("a", "t", "x"), View("c", "t", "x"), View("no name", "u", "x"), View("d", "u", "x", "a/**/b")):
+        with pytest.raises(ValueError):
+            r.create(bad)
+    assert r.list("t") == ["a", "b"] and r.list("u") == []
+    rows = r.rebuild("t", "b", log)
+    assert rows.count() == log.filter("event_type = 'click'").select("key").distinct().count() > 0
+    r.pause("t", "b")
+    assert r.rebuild("t", "b", log.limit(0)) is rows
+    r.resume("t", "b")
+    assert r.rebuild("t", "b", log.limit(0)).count() == 0
+    r.delete("t", "b")
+    with pytest.raises(KeyError):
+        r.get("t", "b")
