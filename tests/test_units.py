@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rillmark.functions import hashing, scalars, subjects
-from rillmark.operators import consumption, lifecycle, routing, state
+from rillmark.operators import consumption, folds, lifecycle, routing, state
 
 
 @pytest.mark.parametrize(("pattern", "subject", "want"), [("orders/*", "orders/created", True), ("orders/*", "orders/us/created", False), ("orders/**", "orders/us/created", True), ("orders/**", "orders", True), ("**", "anything", True), ("a/*/c", "a/b/c", True)])
@@ -80,7 +80,7 @@ def test_retention_drops_only_a_prefix(spark):
     assert [r.off for r in lifecycle.retained_by_age(log, 100, 50).orderBy("off").collect()] == [1, 2]
     assert [r.off for r in lifecycle.retained_by_bytes(log, 25).orderBy("off").collect()] == [1, 2]
     assert lifecycle.retained_by_bytes(log, 5).count() == 0
-    status = lifecycle.retention_status(log, lifecycle.retained_by_bytes(log, 5)).first()
+    status = lifecycle.retention_status(log, 100, 10**9, 5).first()
     assert (status.earliest, status.next_offset, status.deleted_messages) == (3, 3, 3)
 
 
@@ -111,7 +111,7 @@ def test_assignments(spark):
     for how in ("range", "robin"):
         got = consumption.assigned(11, m, how).collect()
         assert sorted(r.part for r in got) == list(range(11)) and {r.member for r in got} == {"a", "b", "c"}
-    assert consumption.sticky([(0, "b"), (1, "b"), (2, None), (3, "x")], ["a", "b"]) == [(0, "b"), (1, "b"), (2, "a"), (3, "a")]
+    assert folds.sticky({0: "b", 1: "b", 3: "x"}, ["a", "b"], 4) == {0: "b", 1: "b", 2: "a", 3: "a"}
 
 
 def test_transactions(spark):
