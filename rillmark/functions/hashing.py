@@ -9,9 +9,9 @@ HIGH, LOW, MASK = 3421674724, 2216829733, 0xFFFFFFFF
 
 
 def _bytes(c: Column) -> Column:
-    h = F.hex(c.cast("binary"))
-    n = (F.length(h) / 2).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    """A string's or binary's bytes as numbers: as Latin-1 each byte is one character, whose code it is."""
+    text = F.decode(c.cast("binary"), "ISO-8859-1")
+    return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda x: F.ascii(x).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def fnv1a(c: Column) -> Column:
@@ -28,8 +28,9 @@ def fnv1a(c: Column) -> Column:
 
 
 def modulo(hashed: Column, n: int) -> Column:
-    """The unsigned remainder."""
-    return (((hashed["hi"] % n) * (4294967296 % n) + hashed["lo"] % n) % n).cast("int")
+    """The unsigned remainder. Inside a function of one element the hash is computed once, not for each half."""
+    rest = F.transform(F.array(hashed), lambda h: ((h["hi"] % n) * (4294967296 % n) + h["lo"] % n) % n)
+    return F.get(rest, F.lit(0)).cast("int")
 
 
 def partition_of(key: Column, n: int) -> Column:

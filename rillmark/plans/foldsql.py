@@ -70,3 +70,8 @@ GRP_GENERATIONS = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS gro
   FROM (SELECT *, generation + CASE WHEN len(list_filter(live, lambda x: x IS NOT NULL)) < len(list_filter(seen, lambda x: x IS NOT NULL)) THEN 1 ELSE 0 END AS g, CASE WHEN kind = 'join' THEN 'ok' WHEN old AND generation + CASE WHEN len(list_filter(live, lambda x: x IS NOT NULL)) < len(list_filter(seen, lambda x: x IS NOT NULL)) THEN 1 ELSE 0 END <> 0 THEN 'stale' WHEN live[m] IS NULL THEN 'unknown' ELSE 'ok' END AS outcome
    FROM (SELECT f.group_id, e.i, e.seq, e.at_, e.kind, e.m, e.old, f.generation, f.seen, list_transform(f.seen, lambda x: CASE WHEN e.at_ - x < 604800000 THEN x END) AS live FROM f JOIN e ON e.group_id = f.group_id AND e.i = f.i + 1)))
  SELECT group_id, seq, outcome, generation, list_transform(list_filter(range(1, 11), lambda k: seen[k] IS NOT NULL), lambda k: 'm' || (k - 1)) AS members FROM f WHERE i > 0"""
+
+#: A broker's share of disk differs from the others' by more than moves change, so the fullest is the greatest id.
+PLC_MOVES = """WITH e AS (SELECT CAST(c_nationkey AS VARCHAR) AS cluster, c_mktsegment AS stream, CAST(c_custkey AS INTEGER) AS part, [CAST((c_custkey + i) % 6 + 1 AS INTEGER) FOR i IN [0, 1, 3]] AS r FROM customer),
+ m AS (SELECT *, list_max(r) AS src FROM e), d AS (SELECT *, list_min(list_filter([1, 3, 4, 5, 6]::INTEGER[], lambda n: NOT list_contains(r, n) AND (n % 3 = src % 3 OR len(list_distinct(list_transform(r, lambda x: x % 3))) >= 2))) AS dst FROM m)
+ SELECT cluster, stream, part, src, dst FROM d WHERE dst < src"""
