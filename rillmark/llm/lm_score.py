@@ -180,19 +180,19 @@ def _count(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array([x], pa.binary()) for x in out], [x.split()[0] for x in _COUNTED.split(", ")])
 
 
-def _opened(batches, starts: dict[str, int]):
-    """Per block: ids, folds, lengths, and for "core" and "all" counts of the word, its context and the pair."""
+def _opened(batches, at_start: int, whole: bool):
+    """Per block: ids, folds, lengths, and counts of the word, its context and the pair; of all training documents or without the fold."""
     for batch in batches:
-        release()
-        for row in batch.to_pylist():
-            lengths = unpack(row["lengths"]).astype(np.int64)
-            core, fold, pair, pair_fold = (unpack(row[k]).astype(np.int64) for k in _COUNTS)
-            first, counts = np.cumsum(lengths) - lengths, {}
-            for name, uni, two in (("core", core, pair), ("all", core + fold, pair + pair_fold)):
-                context = np.concatenate([[0], uni[:-1]])
-                context[first] = starts[name]
-                counts[name] = uni, context, two
-            yield unpack(row["docs"]).view(np.int64), unpack(row["folds"]).astype(np.int8), lengths, counts
+        for row in range(batch.num_rows):
+            release()
+            column = lambda name: unpack(batch.column(name)[row].as_buffer()).astype(np.int64)  # noqa: B023, E731
+            lengths, uni, pair = column("lengths"), column("core"), column("pair")
+            if whole:
+                uni += column("fold")
+                pair += column("pair_fold")
+            context = np.concatenate([[0], uni[:-1]])
+            context[np.cumsum(lengths) - lengths] = at_start
+            yield column("docs"), column("folds").astype(np.int8), lengths, uni, context, pair
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -249,15 +249,14 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
     told = replies.filter("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("n_core").alias("n_core")).first()
     n_all, v_all, n_core = (int(told[k] or 0) for k in ("n", "v", "n_core"))
     told = src.agg(F.count_if(F.col("fold").isin(CORE, CORE | NO_ID)).alias("core"), F.count_if(F.col("fold") == FOLD).alias("fold")).first()
-    starts = {"core": told.core, "all": told.core + told.fold}
     counted = written(blocks.repartition(parts, "block").groupBy("block").cogroup(replies.filter("block >= 0").repartition(parts, "block").groupBy("block")).applyInArrow(_count, _COUNTED), "lm-counts")
     remove(replies)
     remove(blocks)
 
     def statistics(batches):
-        for _, folds, lengths, counts in _opened(batches, starts):
+        for _, folds, lengths, *counts in _opened(batches, told.core, False):
             use = np.repeat(folds & 3 == FOLD, lengths)
-            c1, cv, c2 = (x[use] for x in counts["core"])
+            c1, cv, c2 = (x[use] for x in counts)
             f2, f1 = c2 / np.maximum(cv, 1), c1 / max(n_core, 1)
             q = lambda f: np.where(f > 0, 1 - np.round(STEPS * np.log2(np.where(f > 0, f, 1))), 0).astype(np.int64)
             cell, place, n = np.unique((bucket(cv).astype(np.int64) << 32) + (q(f2) << 16) + q(f1), return_inverse=True, return_counts=True)
@@ -269,11 +268,10 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
     table = weight_table(learn([(x.cell >> 32, float(x.s2) / UNIT / x.n, float(x.s1) / UNIT / x.n, 1 / (v_all + 1), x.n) for x in cells]))
 
     def scores(batches):
-        for ids, folds, lengths, counts in _opened(batches, starts):
+        for ids, folds, lengths, uni, context, pair in _opened(batches, told.core + told.fold, True):
             doc = np.repeat(np.arange(len(ids)), lengths)
-            uni, context, pair = counts["all"]
-            l = table[bucket(context)]  # noqa: E741
-            p = l[:, 0] * pair / np.maximum(context, 1) + l[:, 1] * uni / max(n_all, 1) + l[:, 2] / (v_all + 1)
+            at = bucket(context)
+            p = table[at, 0] * pair / np.maximum(context, 1) + table[at, 1] * uni / max(n_all, 1) + table[at, 2] / (v_all + 1)
             add = lambda x: np.bincount(doc, x, len(ids))
             base = add(np.log10((uni + 0.1) / (n_all + 0.1 * (v_all + 1))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=folds & NO_ID > 0), pa.array(folds == HELD_OUT), pa.array(lengths), pa.array(add(uni > 0).astype(np.int64)), pa.array(np.full(len(ids), n_all)), pa.array(base), pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
