@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions import hashing, scalars, workload
-from rillmark.operators import budgets, compatibility, consumption, delivery, lifecycle, middleware, replay, routing, state
+from rillmark.operators import budgets, compatibility, consumption, delivery, lifecycle, metadata, middleware, replay, routing, state
 from rillmark.plans.control import _LEASES, _leases, _pending
 from rillmark.plans.queries import _FNV, _LOG, _MSG, _PRODUCERS, _TXN, NOW, _log, _messages, _producers, _samples, _txn
 from rillmark.sources import events as ev
@@ -563,9 +563,34 @@ AGG_EXPOSITION = (
 )
 
 
+def rep_metadata(s, d):
+    """Orders as commands on eight partitions: new leaders, and commits by leaders that are sometimes old."""
+    k = F.col("o_orderkey")
+    n = lambda c: c.cast("long")
+    none = F.lit(None)
+    rows = ev.table(s, d, "orders").select(F.lit("s").alias("stream"), (k % 8).cast("int").alias("part"), n(k).alias("seq"), F.when(F.col("o_custkey") % 5 == 0, "leader").otherwise("commit").alias("kind"), n(F.col("o_custkey") % 4 + 1).alias("leader"), n(F.floor(F.col("o_custkey") / 4) % 6 + 1).alias("epoch"), n(F.floor(k / 8) % 3 + F.floor(k / 200)).alias("offset"), n(F.lit(0)).alias("checksum"), n(none).alias("generation"), none.cast("string").alias("phase"), none.cast("array<long>").alias("replicas"), none.cast("array<long>").alias("active"))
+    return metadata.partition_commands(rows, [1, 2, 3], 1).drop("generation")
+
+
+REP_METADATA = """WITH RECURSIVE e AS (SELECT CAST(o_orderkey % 8 AS INTEGER) AS part, o_orderkey AS seq, o_custkey % 5 = 0 AS lead_, o_custkey % 4 + 1 AS l, o_custkey // 4 % 6 + 1 AS ep, o_orderkey // 8 % 3 + o_orderkey // 200 AS off, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) AS i FROM orders),
+ f AS (SELECT part, 0::BIGINT AS i, 0::BIGINT AS seq, true AS ok, 1::BIGINT AS leader, 1::BIGINT AS epoch, 0::BIGINT AS nxt, NULL::BIGINT AS co, NULL::BIGINT AS cl, NULL::BIGINT AS ce FROM (SELECT DISTINCT part FROM e) UNION ALL
+  SELECT part, i, seq, same OR moved OR again OR done, CASE WHEN moved THEN l ELSE leader END, CASE WHEN moved THEN ep ELSE epoch END, CASE WHEN done AND NOT again THEN off + 1 ELSE nxt END, CASE WHEN done THEN off ELSE co END, CASE WHEN done THEN l ELSE cl END, CASE WHEN done THEN ep ELSE ce END
+  FROM (SELECT f.part, e.i, e.seq, leader, epoch, nxt, co, cl, ce, l, ep, off, lead_ AND l = leader AND ep = epoch AS same, lead_ AND NOT (l = leader AND ep = epoch) AND ep = epoch + 1 AND l <= 3 AS moved, NOT lead_ AND l = leader AND ep = epoch AND coalesce(co = off AND cl = l AND ce = ep, false) AS again,
+   NOT lead_ AND l = leader AND ep = epoch AND NOT coalesce(co = off AND cl = l AND ce = ep, false) AND NOT coalesce(ep < ce, false) AND off = nxt AS done FROM f JOIN e ON e.part = f.part AND e.i = f.i + 1))
+ SELECT 's' AS stream, part, seq, ok, leader, epoch, nxt AS next_offset FROM f WHERE i > 0"""
+
+
+def rep_policies(s, d):
+    """Policy snapshots of 30 scopes, of which late ones are refused."""
+    return metadata.policies(ev.table(s, d, "orders").select((F.col("o_custkey") % 30).alias("scope"), F.col("o_orderkey").alias("seq"), F.floor((F.col("o_orderkey") + F.col("o_orderkey") % 7 * 300) / 400).alias("generation")))
+
+
+REP_POLICIES = "WITH p AS (SELECT o_custkey % 30 AS scope, o_orderkey AS seq, (o_orderkey + o_orderkey % 7 * 300) // 400 AS generation FROM orders) SELECT *, coalesce(generation >= max(generation) OVER (PARTITION BY scope ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ok FROM p"
+
+
 ALL = {
     f.__name__: (f, globals().get(f.__name__.upper()))
-    for f in (fn_workload, fn_pacing, fn_ack_subject, fn_saturating, fn_duration, fn_crc32, flt_message, flt_names, pt_state_shard, pt_leaders, prj_envelope, rbc_snapshot, aud_status, agg_producers, rep_committed, grp_commit_fenced, grp_sticky, grp_expand, cur_delivered, cur_ack_window, dlv_nack, dlv_jitter, qta_work, sch_register, sch_avro, sch_protobuf, src_replay, src_assigned, src_subject_offsets, vw_apply, vw_snapshot, cmp_superseded, udf_pipeline, jn_large_index, agg_consumer_load, agg_rates, agg_latency_buckets, jn_allow_list, pt_epochs, dlv_dead_admin, ret_acks, vw_watch_status, jn_catalog, wal_state, rep_registrations, src_message_ids, agg_exposition)
+    for f in (fn_workload, fn_pacing, fn_ack_subject, fn_saturating, fn_duration, fn_crc32, flt_message, flt_names, pt_state_shard, pt_leaders, prj_envelope, rbc_snapshot, aud_status, agg_producers, rep_committed, grp_commit_fenced, grp_sticky, grp_expand, cur_delivered, cur_ack_window, dlv_nack, dlv_jitter, qta_work, sch_register, sch_avro, sch_protobuf, src_replay, src_assigned, src_subject_offsets, vw_apply, vw_snapshot, cmp_superseded, udf_pipeline, jn_large_index, agg_consumer_load, agg_rates, agg_latency_buckets, jn_allow_list, pt_epochs, dlv_dead_admin, ret_acks, vw_watch_status, jn_catalog, wal_state, rep_registrations, src_message_ids, agg_exposition, rep_metadata, rep_policies)
 }
 
 

@@ -309,7 +309,7 @@ def txn_fold(s, d):
     k = F.col("o_orderkey")
     kind = F.element_at(F.array(*map(F.lit, ("begin", "write", "write", "prepare", "commit", "write", "abort"))), (k % 7 + 1).cast("int"))
     rows = ev.table(s, d, "orders").select((F.col("o_custkey") % 50).cast("long").alias("producer"), k.cast("long").alias("seq"), kind.alias("kind"), F.floor(k / 40).alias("txn"), F.floor(k / 2000).alias("epoch"), (k * 10).cast("long").alias("ts_ms"), (k % 5).alias("partition"), (k % 50).alias("bytes"))
-    return ledgers.transactions(rows, max_messages=5, max_bytes=150, max_partitions=3, max_duration_ms=5000, max_open=10)
+    return ledgers.transactions(rows, max_messages=5, max_bytes=150, max_partitions=3, max_duration_ms=5000, max_open=100)
 
 
 def rep_roles(s, d):

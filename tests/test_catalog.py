@@ -112,3 +112,18 @@ def test_view_registry(spark):
     r.delete("t", "b")
     with pytest.raises(KeyError):
         r.get("t", "b")
+
+
+def test_partition_commands(spark):
+    from rillmark.operators import metadata
+
+    c = lambda seq, kind, leader, epoch, offset=None, checksum=None, generation=None, phase=None, replicas=None, active=None: ("s", 0, seq, kind, leader, epoch, offset, checksum, generation, phase, replicas, active)
+    rows = [c(0, "commit", 1, 1, 0, 9), c(1, "commit", 1, 1, 0, 9), c(2, "commit", 1, 1, 0, 8), c(3, "commit", 1, 1, 2, 9), c(4, "leader", 2, 3), c(5, "leader", 4, 2), c(6, "leader", 2, 2), c(7, "commit", 1, 1, 1, 9), c(8, "commit", 2, 2, 1, 7)]
+    rows += [c(9, "reconfigure", 2, 2, None, None, 2, "stable", [1, 2], [1, 2]), c(10, "reconfigure", 2, 2, None, None, 1, "catching_up", [1, 2, 4], [1, 2]), c(11, "commit", 2, 2, 2, 1), c(12, "reconfigure", 2, 2, 0, 7, 1, "activating", [1, 2, 4], [1, 2, 4])]
+    rows += [c(13, "reconfigure", 2, 2, 1, 7, 1, "activating", [1, 2, 4], [1, 2, 4]), c(14, "reconfigure", 2, 2, None, None, 1, "stable", [1, 2, 4], [2]), c(15, "reconfigure", 4, 2, None, None, 1, "stable", [1, 2, 4], [2, 4]), c(16, "reconfigure", 4, 3, None, None, 1, "stable", [1, 2, 4], [2, 4]), c(17, "commit", 4, 3, 2, 5), c(18, "leader", 1, 4)]
+    ddl = "stream string, part int, seq long, kind string, leader long, epoch long, offset long, checksum long, generation long, phase string, replicas array<long>, active array<long>"
+    got = sorted(metadata.partition_commands(spark.createDataFrame(rows, ddl), [1, 2, 3], 1).collect(), key=lambda r: r.seq)
+    assert [r.seq for r in got if r.ok] == [0, 1, 6, 8, 10, 13, 16, 17]
+    assert (got[-1].leader, got[-1].epoch, got[-1].next_offset, got[-1].generation) == (4, 3, 3, 1)
+    grown = metadata.expansions(spark.createDataFrame([("s", 0, 4, 2), ("s", 1, 3, 3), ("s", 2, 8, 2), ("s", 3, 8, 3)], "stream string, seq long, partitions long, epoch long"))
+    assert [r.ok for r in sorted(grown.collect(), key=lambda r: r.seq)] == [True, False, False, True]
