@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,12 @@ def next_pull(leases: DataFrame, pending: DataFrame, now_ms: int, max_in_flight:
     return both.select("consumer", F.coalesce("late.seq", F.when(room, F.col("new"))).alias("seq"), F.when(F.col("late").isNotNull(), F.col("late.attempt") + 1).otherwise(1).alias("attempt")).filter("seq is not null")
 
 
+def granted(pulled: DataFrame, now_ms: int, timeout_ms: int, last_delivery: int) -> DataFrame:
+    """Leases of what is pulled (consumer, seq, attempt; one row per consumer): a deadline, and delivery ids after the last one in consumer order."""
+    nth = F.row_number().over(Window.orderBy("consumer"))  # as many rows as consumers
+    return pulled.select("consumer", "seq", (F.lit(last_delivery).cast("long") + nth).alias("delivery_id"), "attempt", F.lit(now_ms + timeout_ms).cast("long").alias("deadline_ms"))
+
+
 def before_undue(candidates: DataFrame, now_ms: int) -> DataFrame:
     """Candidates ahead of a consumer's first message that isn't due yet."""
     block = candidates.filter(F.col("scheduled_ms") > now_ms).groupBy("consumer").agg(F.min("seq").alias("_block"))

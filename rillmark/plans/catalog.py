@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import hashing, scalars, workload
 from rillmark.operators import budgets, compatibility, consumption, delivery, lifecycle, metadata, middleware, replay, routing, state
-from rillmark.plans.control import _LEASES, _leases, _pending
+from rillmark.plans.control import _LEASES, DLV_NEXT_PULL, _leases, _pending
 from rillmark.plans.queries import _FNV, _LOG, _MSG, _PRODUCERS, _TXN, NOW, _log, _messages, _producers, _samples, _txn
 from rillmark.sources import events as ev
 from rillmark.sources import storage
@@ -240,6 +240,14 @@ def dlv_jitter(s, d):
 DLV_JITTER = "WITH a AS (SELECT o_orderkey, o_orderkey % 20 + 1 AS n, least(30000, 100 * (1::BIGINT << (o_orderkey % 20))) AS delay FROM orders) SELECT o_orderkey, greatest(0, least(30000, delay + (n * 1664525 + 1013904223) % (delay * 20 // 100 * 2 + 1) - delay * 20 // 100)) AS delay FROM a"
 
 
+def dlv_grant(s, d):
+    """Leases that one round of pulls grants."""
+    return delivery.granted(delivery.next_pull(_leases(s, d), _pending(s, d), NOW, 100), NOW, 30_000, 7000)
+
+
+DLV_GRANT = DLV_NEXT_PULL.replace("SELECT * FROM t WHERE seq IS NOT NULL", f"SELECT consumer, seq, 7000 + row_number() OVER (ORDER BY consumer) AS delivery_id, attempt, {NOW + 30_000} AS deadline_ms FROM t WHERE seq IS NOT NULL")
+
+
 def qta_work(s, d):
     """Orders as starts and ends of work in three classes, each with a budget of records, bytes and concurrency."""
     n = F.col("o_orderkey")
@@ -590,7 +598,7 @@ REP_POLICIES = "WITH p AS (SELECT o_custkey % 30 AS scope, o_orderkey AS seq, (o
 
 ALL = {
     f.__name__: (f, globals().get(f.__name__.upper()))
-    for f in (fn_workload, fn_pacing, fn_ack_subject, fn_saturating, fn_duration, fn_crc32, flt_message, flt_names, pt_state_shard, pt_leaders, prj_envelope, rbc_snapshot, aud_status, agg_producers, rep_committed, grp_commit_fenced, grp_sticky, grp_expand, cur_delivered, cur_ack_window, dlv_nack, dlv_jitter, qta_work, sch_register, sch_avro, sch_protobuf, src_replay, src_assigned, src_subject_offsets, vw_apply, vw_snapshot, cmp_superseded, udf_pipeline, jn_large_index, agg_consumer_load, agg_rates, agg_latency_buckets, jn_allow_list, pt_epochs, dlv_dead_admin, ret_acks, vw_watch_status, jn_catalog, wal_state, rep_registrations, src_message_ids, agg_exposition, rep_metadata, rep_policies)
+    for f in (fn_workload, fn_pacing, fn_ack_subject, fn_saturating, fn_duration, fn_crc32, flt_message, flt_names, pt_state_shard, pt_leaders, prj_envelope, rbc_snapshot, aud_status, agg_producers, rep_committed, grp_commit_fenced, grp_sticky, grp_expand, cur_delivered, cur_ack_window, dlv_nack, dlv_jitter, qta_work, sch_register, sch_avro, sch_protobuf, src_replay, src_assigned, src_subject_offsets, vw_apply, vw_snapshot, cmp_superseded, udf_pipeline, jn_large_index, agg_consumer_load, agg_rates, agg_latency_buckets, jn_allow_list, pt_epochs, dlv_dead_admin, ret_acks, vw_watch_status, jn_catalog, wal_state, rep_registrations, src_message_ids, agg_exposition, rep_metadata, rep_policies, dlv_grant)
 }
 
 
