@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,19 +56,24 @@ def distribution(samples: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, least, mean, population deviation, greatest, and percentiles at index ceil((n - 1) * p), exactly.
 
     No task sorts a whole group: approximate quantiles, good to a thousandth, bound each percentile from both sides by five
-    thousandths; what is below is counted, and only the hundredth in between is sorted.
+    thousandths. A second pass counts what is below, and the values of the hundredth in between one by one; only these are sorted.
     """
     wanted, near = (0.5, 0.95, 0.99), 0.005
     bounds = F.percentile_approx(value, [min(1.0, p + d) for p in wanted for d in (-near, near)], 1000)
     facts = samples.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_pop(value), 4).alias("deviation"), F.max(value).alias("greatest"), bounds.alias("_q"))
     low, high = (lambda i: F.get("_q", F.lit(2 * i))), (lambda i: F.get("_q", F.lit(2 * i + 1)))
-    placed = samples.select(*by, value).join(facts.select(*by, "n", "_q"), by)
-    below = placed.groupBy(*by).agg(*[F.count_if(F.col(value) < low(i)).alias(f"_b{i}") for i in range(len(wanted))])
-    nth = F.array(*[F.when(F.col(value).between(low(i), high(i)), F.lit(i)) for i in range(len(wanted))])
-    few = placed.withColumn("_p", F.explode(F.filter(nth, lambda i: i.isNotNull()))).select(*by, value, "_p", "n")
-    ranked = few.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(value)) - 1).join(below, by)
-    at = lambda i, p: (F.col("_p") == i) & (F.col("_i") + F.col(f"_b{i}") == F.ceil((F.col("n") - 1) * F.lit(p)))
-    picks = ranked.groupBy(*by).agg(*[F.max(F.when(at(i, p), F.col(value))).alias(f"p{str(p)[2:]}") for i, p in enumerate(wanted)])
+    inside = lambda i, v: F.col(v).between(low(i), high(i))
+    near_one = reduce(Column.__or__, (inside(i, value) for i in range(len(wanted))))
+    placed = samples.select(*by, value).join(facts.select(*by, "_q"), by)
+    counted = placed.groupBy(*by, F.when(near_one, F.col(value)).alias("_v")).agg(F.count("*").alias("_c"), *[F.count_if(F.col(value) < low(i)).alias(f"_b{i}") for i in range(len(wanted))])
+    below = counted.groupBy(*by).agg(*[F.sum(f"_b{i}").alias(f"_b{i}") for i in range(len(wanted))])
+    few = counted.filter("_v is not null").select(*by, "_v", "_c").join(facts.select(*by, "n", "_q"), by)
+    nth = F.array(*[F.when(inside(i, "_v"), F.lit(i)) for i in range(len(wanted))])
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = few.withColumn("_p", F.explode(F.filter(nth, lambda i: i.isNotNull()))).withColumn("_upto", upto).join(below, by)
+    index = lambda p: F.ceil((F.col("n") - 1) * F.lit(p))
+    at = lambda i, p: (F.col("_p") == i) & (F.col("_upto") + F.col(f"_b{i}") > index(p)) & (F.col("_upto") - F.col("_c") + F.col(f"_b{i}") <= index(p))
+    picks = ranked.groupBy(*by).agg(*[F.max(F.when(at(i, p), F.col("_v"))).alias(f"p{str(p)[2:]}") for i, p in enumerate(wanted)])
     return facts.drop("_q").join(picks, by)
 
 
