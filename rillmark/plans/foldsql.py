@@ -75,3 +75,23 @@ GRP_GENERATIONS = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS gro
 PLC_MOVES = """WITH e AS (SELECT CAST(c_nationkey AS VARCHAR) AS cluster, c_mktsegment AS stream, CAST(c_custkey AS INTEGER) AS part, [CAST((c_custkey + i) % 6 + 1 AS INTEGER) FOR i IN [0, 1, 3]] AS r FROM customer),
  m AS (SELECT *, list_max(r) AS src FROM e), d AS (SELECT *, list_min(list_filter([1, 3, 4, 5, 6]::INTEGER[], lambda n: NOT list_contains(r, n) AND (n % 3 = src % 3 OR len(list_distinct(list_transform(r, lambda x: x % 3))) >= 2))) AS dst FROM m)
  SELECT cluster, stream, part, src, dst FROM d WHERE dst < src"""
+
+#: The steps of a transaction lie within 40 keys, so the state holds the present one's producers, and of the others how many are live.
+#: A step before any begin of its transaction is unknown whatever came before, and takes no turn.
+TXN_FOLD = """WITH RECURSIVE r AS (SELECT CAST(o_custkey % 50 AS BIGINT) AS p, CAST(o_orderkey AS BIGINT) AS seq, ['begin', 'write', 'write', 'prepare', 'commit', 'write', 'abort'][CAST(o_orderkey % 7 + 1 AS INTEGER)] AS kind, CAST(o_orderkey // 40 AS BIGINT) AS txn, CAST(o_orderkey // 2000 AS BIGINT) AS epoch, CAST(o_orderkey * 10 AS BIGINT) AS ts, CAST(o_orderkey % 5 AS BIGINT) AS part, CAST(o_orderkey % 50 AS BIGINT) AS bytes FROM orders),
+ u AS (SELECT *, bool_or(kind = 'begin') OVER (PARTITION BY p, txn ORDER BY seq ROWS UNBOUNDED PRECEDING) AS begun FROM r), e AS (SELECT * EXCLUDE (begun), row_number() OVER (ORDER BY seq) AS i FROM u WHERE begun),
+ f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS producer, 0::BIGINT AS seq, ''::VARCHAR AS outcome, -1::BIGINT AS cur, 0::BIGINT AS live, list_transform(range(50), lambda x: 0::BIGINT) AS epochs, list_transform(range(50), lambda x: 0::BIGINT) AS lives,
+   []::STRUCT(p BIGINT, epoch BIGINT, status VARCHAR, deadline BIGINT, n BIGINT, bytes BIGINT, parts BIGINT[])[] AS known UNION ALL
+  SELECT i, p, seq, outcome, txn, live - gone + started - ended, CASE WHEN bump THEN list_transform(epochs, lambda x, j: CASE WHEN j = p + 1 THEN epoch ELSE x END) ELSE epochs END,
+   CASE WHEN bump OR started + ended > 0 THEN list_transform(lives, lambda x, j: CASE WHEN j = p + 1 THEN x - gone + started - ended ELSE x END) ELSE lives END,
+   CASE WHEN started > 0 THEN list_append(kn, {'p': p, 'epoch': epoch, 'status': 'open', 'deadline': ts + 5000, 'n': 0::BIGINT, 'bytes': 0::BIGINT, 'parts': []::BIGINT[]}) WHEN outcome <> 'ok' OR kind = 'begin' THEN kn
+    ELSE list_transform(kn, lambda x: CASE WHEN x.p <> p THEN x WHEN kind = 'write' THEN {'p': x.p, 'epoch': x.epoch, 'status': x.status, 'deadline': x.deadline, 'n': x.n + 1, 'bytes': x.bytes + bytes, 'parts': list_distinct(list_append(x.parts, part))}
+     ELSE {'p': x.p, 'epoch': x.epoch, 'status': CASE kind WHEN 'prepare' THEN 'prepared' WHEN 'commit' THEN 'committed' ELSE 'aborted' END, 'deadline': x.deadline, 'n': x.n, 'bytes': x.bytes, 'parts': x.parts} END) END
+  FROM (SELECT *, CASE WHEN kind = 'begin' AND me IS NULL AND outcome = 'ok' THEN 1 ELSE 0 END AS started, CASE WHEN kind IN ('commit', 'abort') AND outcome = 'ok' THEN 1 ELSE 0 END AS ended
+   FROM (SELECT *, CASE WHEN kind = 'begin' THEN CASE WHEN me IS NOT NULL THEN CASE WHEN me.epoch = epoch THEN 'ok' ELSE 'reused' END WHEN epoch < epochs[p + 1] THEN 'fenced' WHEN live - gone >= 100 THEN 'too many' ELSE 'ok' END
+     WHEN me IS NULL THEN 'unknown' WHEN kind = 'abort' THEN CASE WHEN me.status IN ('open', 'prepared') THEN 'ok' ELSE 'terminal' END WHEN ts > me.deadline THEN 'timed out'
+     WHEN kind = 'commit' THEN CASE WHEN me.status = 'prepared' THEN 'ok' ELSE 'not prepared' END WHEN me.status <> 'open' THEN 'not open' WHEN kind = 'prepare' THEN 'ok'
+     WHEN me.n >= 5 THEN 'messages' WHEN me.bytes + bytes > 150 THEN 'bytes' WHEN len(list_distinct(list_append(me.parts, part))) > 3 THEN 'partitions' ELSE 'ok' END AS outcome
+    FROM (SELECT *, kind = 'begin' AND me IS NULL AND epoch > epochs[p + 1] AS bump, CASE WHEN kind = 'begin' AND me IS NULL AND epoch > epochs[p + 1] THEN lives[p + 1] ELSE 0 END AS gone
+     FROM (SELECT *, list_filter(kn, lambda x: x.p = p)[1] AS me FROM (SELECT e.*, live, epochs, lives, CASE WHEN cur = txn THEN known ELSE [] END AS kn FROM f JOIN e ON e.i = f.i + 1))))))
+ SELECT producer, seq, outcome FROM f WHERE i > 0 UNION ALL SELECT p, seq, 'unknown' FROM u WHERE NOT begun"""
